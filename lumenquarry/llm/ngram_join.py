@@ -7,9 +7,10 @@ of a digest of the set); copies are never paired. Two nodes link when 100 * |int
    own mean. Every set is put in order of (count of the cell, hash): runs that many texts share come last, whatever the
    sketch misses only costs time. Two linked sets share one of their first s - ceil(t s) + 1 runs in that order.
 2. *Buckets.* The prefixes are dealt by run. A bucket of up to SMALL nodes hands on all its pairs that pass the length and
-   positional filters. A larger bucket first hands on a star only: pairs with the smallest set of their length class and with the set before.
+   positional filters. A larger bucket first hands on a star only: pairs with one node of their length class.
 3. Each candidate pair goes once through the suffix filter (sets are cut at 64 fixed pivots of the hash space; the sum of the
-   smaller sides bounds the intersection), then both texts are read and compared exactly.
+   smaller sides bounds the intersection), then through the same filter with about one cell for two runs, then both
+   texts are read and compared exactly.
 4. *Components* of the links found (large star, small star). Large buckets whose nodes lie in one component are done: any link
    inside adds nothing. Of the others, the pairs between different components go through the filters and step 3, so
    no link between different components is lost while groups of near copies aren't paired all with all.
@@ -30,9 +31,9 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from .common import discard, hash_shingles, hash_words, save, text_buffer
 
-CELLS, SMALL, PIVOTS = 1 << 20, 12, 64
+CELLS, SMALL, PIVOTS = 1 << 20, 3, 64
 STAR_CLASS = 1.25
-OPEN_ROWS = 50_000  # a bucket with more goes on in parts, only its centre and last node held
+OPEN_ROWS = 50_000  # a bucket with more goes on in parts, only its centre held
 IN_PLAN = 3_000_000  # node numbers (8 bytes each) that may be sent to all tasks; more are joined
 
 
@@ -207,23 +208,24 @@ def _work(cols, percent: int):
         cls = _classes(size)
         head = new.copy()
         head[1:] |= cls[1:] != cls[:-1]
-        centre = node[np.maximum.accumulate(np.where(head, np.arange(len(run)), 0))]
-        same = ~new[1:]
-        yield from _pair_rows(np.concatenate((centre, node[:-1][same])), np.concatenate((node, node[1:][same])))
+        yield from _pair_rows(_centres(node, head), node)
+
+
+def _centres(node: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """For each row the smallest node from its head on to the next: the same centres wherever the same nodes meet, so few different pairs."""
+    at = np.flatnonzero(head)
+    return np.repeat(np.minimum.reduceat(node, at), np.diff(np.append(at, len(node))))
 
 
 def _large(cols, big):
-    """A part of one large bucket; big: (run, class, centre, last node) of the parts before."""
+    """A part of one large bucket; big: (run, class, centre) of the part before."""
     run, node, size, place = cols
     cls = _classes(size)
     head = np.concatenate(([True], cls[1:] != cls[:-1]))
-    centre = node[np.maximum.accumulate(np.where(head, np.arange(len(run)), 0))]
-    a, b = [centre, node[:-1]], [node, node[1:]]
+    centre = _centres(node, head)
     if big is not None:
         centre = np.where(cls == big[1], big[2], centre)
-        a, b = [centre, node[:-1], np.array([big[3]])], [node, node[1:], node[:1]]
-    rows = [*_member_rows(run, node, size, place), *_pair_rows(np.concatenate(a), np.concatenate(b))]
-    return rows, (run[0], cls[-1], centre[-1], node[-1])
+    return [*_member_rows(run, node, size, place), *_pair_rows(centre, node)], (run[0], cls[-1], centre[-1])
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
@@ -290,6 +292,33 @@ def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     return joined.mapInArrow(run, "a long, b long")
 
 
+def fine_spread(own: np.ndarray) -> bytes | None:
+    """Sizes between 2**k pivots of the hash space, about two runs each; None where one is above 255."""
+    bits = max(6, int(len(own)).bit_length() - 1) if len(own) else 6
+    counts = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def _fine_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("fine").alias(f"f{c}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "fa", "fb")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if x is None or y is None:
+                    keep.append(True)
+                    continue
+                x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+                n = min(len(x), len(y))
+                x, y = (v.reshape(n, -1).sum(1) for v in (x, y))
+                keep.append((100 + percent) * int(np.minimum(x, y).sum()) >= percent * int(x.sum() + y.sum()))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.mapInArrow(run, "a long, b long")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
     """The linked ones of pairs (a, b): each pair's texts are read and compared once."""
     spark = docs.sparkSession
@@ -306,12 +335,14 @@ def _verify(pairs: DataFrame, docs: DataFrame, text: str, n: int, percent: int)
                 at = np.minimum(np.searchsorted(all_, nodes), max(0, len(all_) - 1))
                 keep = all_[at] == nodes if len(all_) else np.zeros(len(nodes), bool)
                 batch, nodes = batch.filter(pa.array(keep)), nodes[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0).cast(pa.string())], names=["node", "text"])
+            fine = [fine_spread(own) for own in _sets(batch.column(0), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0).cast(pa.string()), pa.array(fine, pa.binary())], names=["node", "text", "fine"])
 
-    found = docs.select(text).mapInArrow(texts, "node long, text string")
+    found = docs.select(text).mapInArrow(texts, "node long, text string, fine binary")
     if sent is None:
         found = found.join(wanted, "node", "left_semi")
-    own = save(found.groupBy("node").agg(F.first("text").alias("text")), "join_texts")
+    own = save(found.groupBy("node").agg(F.first("text").alias("text"), F.first("fine").alias("fine")), "join_texts")
+    pairs = save(_fine_filter(pairs, own, percent), "join_pairs")
     side = lambda c: own.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "ta", "b", "tb")
 
@@ -327,7 +358,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, text: str, n: int, percent: int)
             yield batch.select([0, 2]).filter(pa.array(keep, pa.bool_()))
 
     out = save(joined.mapInArrow(compare, "a long, b long"), "join_links")
-    discard(wanted, own)
+    discard(wanted, own, pairs)
     return out
 
 
