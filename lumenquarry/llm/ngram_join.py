@@ -12,7 +12,7 @@ of a digest of the set); copies are never paired. Two nodes link when 100 * |int
    smaller sides bounds the intersection), then through the same filter with about one cell for two runs, then both
    texts are read and compared exactly.
 4. *Components* of the links found (large star, small star). Large buckets whose nodes lie in one component are done: any link
-   inside adds nothing. Of the others, the pairs between different components go through the filters and step 3, so
+   inside adds nothing. Of the others, the pairs between different components go through the filters inside the bucket and then step 3, so
    no link between different components is lost while groups of near copies aren't paired all with all.
 
 Null, empty and blank texts have an empty set, link with nothing, and are their own component. Rows with equal ids are
@@ -229,12 +229,14 @@ def _large(cols, big):
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in the large buckets that pass the length and positional filters."""
+    """Pairs of different components in the large buckets that pass the length, positional and suffix filters.
+
+    The suffix filter is applied inside the bucket, so that pairs it drops are never written."""
 
     def run(batches):
         held = None
         for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns]
+            cols = [*(c.to_numpy() for c in batch.columns[:5]), _spreads(batch.column(5))]
             if held is not None:
                 cols = [np.concatenate((h, c)) for h, c in zip(held, cols)]
             if not len(cols[0]):
@@ -245,7 +247,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
         if held is not None:
             yield from _cross(held, percent)
 
-    return members.repartition("run").sortWithinPartitions("run", "size", "node").select("run", "node", "size", "place", "component").mapInArrow(run, "a long, b long")
+    return members.repartition("run").sortWithinPartitions("run", "size", "node").select("run", "node", "size", "place", "component", "spread").mapInArrow(run, "a long, b long")
 
 
 def _cross(cols, percent: int):
@@ -254,15 +256,17 @@ def _cross(cols, percent: int):
     first = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1])))
     found: list[np.ndarray] = []
     for s, e in zip(first, np.append(first[1:], len(cols[0]))):
-        _, node, size, place, component = (c[s:e] for c in cols)
+        _, node, size, place, component, spread = (c[s:e] for c in cols)
         if (component == component[0]).all():
             continue
         reach = np.searchsorted(100 * size.astype(np.int64), percent * size.astype(np.int64))  # no smaller set links
         for i in range(1, len(node)):
             lo = reach[i]
             ok = (component[lo:i] != component[i]) & _can_link(size[lo:i], place[lo:i], size[i], place[i], percent)
-            if ok.any():
-                other = node[lo:i][ok]
+            at = lo + np.flatnonzero(ok)
+            at = at[_can_share(spread[at], spread[i], size[at].astype(np.int64) + int(size[i]), percent)]
+            if len(at):
+                other = node[at]
                 found.append(np.stack([np.minimum(other, node[i]), np.maximum(other, node[i])], 1))
             if len(found) > 2000:
                 yield _two(found)
@@ -276,6 +280,15 @@ def _two(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _spreads(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, PIVOTS)
+
+
+def _can_share(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Suffix filter: whether sets cut at the pivots can share enough; sizes: the sum of both sets' sizes."""
+    return (100 + percent) * np.minimum(x, y).sum(-1, dtype=np.int64) >= percent * sizes
+
+
 def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets, cut at the pivots, can share enough."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("spread").alias(f"s{c}"))
@@ -285,8 +298,8 @@ def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFram
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, PIVOTS).astype(np.int64) for i in (2, 3))
-            ok = (100 + percent) * np.minimum(x, y).sum(1) >= percent * (x.sum(1) + y.sum(1))
+            x, y = _spreads(batch.column(2)), _spreads(batch.column(3))
+            ok = _can_share(x, y, x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64), percent)
             yield batch.select([0, 1]).filter(pa.array(ok))
 
     return joined.mapInArrow(run, "a long, b long")
@@ -395,8 +408,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     members = buckets.where("b is null").select(F.col("a").alias("node"), "run", "size", "place")
     named = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("run")
-    again = _across(named.join(mixed, "run", "left_semi"), percent).distinct().join(first, ["a", "b"], "left_anti")
-    second = save(_suffix_filter(again, nodes, percent), "join_pairs")
+    apart = named.join(mixed, "run", "left_semi").join(nodes.select("node", "spread"), "node")
+    second = save(_across(apart, percent).distinct().join(first, ["a", "b"], "left_anti"), "join_pairs")
     if second.isEmpty():
         found = links
     else:
