@@ -3,14 +3,14 @@
 A text's set: the 64-bit hashes of its distinct runs of `n` words. Texts of the same set are one node (named by 64 bits
 of a digest of the set); copies are never paired. Two nodes link when 100 * |intersection| >= percent * |union|.
 
-1. *Order.* A sketch of 2**20 cells counts how many sets each hash cell holds; tasks hand on the cells that stand out of their
-   own mean. Every set is put in order of (count of the cell, hash): runs that many texts share come last, whatever the
-   sketch misses only costs time. Two linked sets share one of their first s - ceil(t s) + 1 runs in that order.
+1. *Order.* Blocks of sets hand on the runs that OFTEN or more of their sets hold; the counts are added up, and the most
+   frequent (HEAVY at most) are sent to all tasks. Every set is put in order of (count, hash): runs that many texts share come
+   last, whatever the counts miss only costs time. Two linked sets share one of their first s - ceil(t s) + 1 runs in that order.
 2. *Buckets.* The prefixes are dealt by run. A bucket of up to SMALL nodes hands on all its pairs that pass the length and
    positional filters. A larger bucket first hands on a star only: pairs with one node of their length class.
 3. Each candidate pair goes once through the suffix filter (sets are cut at 64 fixed pivots of the hash space; the sum of the
-   smaller sides bounds the intersection), then through the same filter with about one cell for two runs, then both
-   texts are read and compared exactly.
+   smaller sides bounds the intersection), then through the same filter with about one cell for two runs; of what is left
+   both texts are read and compared exactly.
 4. *Components* of the links found (large star, small star). Large buckets whose nodes lie in one component are done: any link
    inside adds nothing. Of the others, the pairs between different components go through the filters inside the bucket and then step 3, so
    no link between different components is lost while groups of near copies aren't paired all with all.
@@ -31,7 +31,8 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from .common import discard, hash_shingles, hash_words, save, text_buffer
 
-CELLS, SMALL, PIVOTS = 1 << 20, 3, 64
+SMALL, PIVOTS = 3, 64
+BLOCK, OFTEN, HEAVY = 1 << 23, 3, 1 << 22  # runs counted at a time; sets of a block that make a run frequent; runs (12 bytes each) sent to all tasks
 STAR_CLASS = 1.25
 OPEN_ROWS = 50_000  # a bucket with more goes on in parts, only its centre held
 IN_PLAN = 3_000_000  # node numbers (8 bytes each) that may be sent to all tasks; more are joined
@@ -50,26 +51,50 @@ def node_of(own: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def heavy_cells(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """For each cell of the hash space, about how many sets hold a run of it; 0 for the cells that don't stand out."""
+def heavy_runs(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent runs, sorted, and about how many sets hold each; HEAVY at most, whole powers of two of the counts."""
+
+    def often(held):
+        runs, count = np.unique(np.concatenate(held), return_counts=True)
+        runs, count = runs[count >= OFTEN], count[count >= OFTEN]
+        return pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), pa.array(count, pa.int64())], names=["run", "n"])
 
     def run(batches):
-        cells = np.zeros(CELLS, np.int64)
-        seen = set()
+        held, rows, seen = [], 0, set()
         for batch in batches:
             for own in _sets(batch.column(0), n):
                 if len(own) and (node := node_of(own)) not in seen:
                     if len(seen) < 1 << 20:
                         seen.add(node)
-                    cells[(own & np.uint64(CELLS - 1)).astype(np.int64)] += 1
-        mean = cells.mean()
-        out = np.flatnonzero(cells > mean + 4 * np.sqrt(mean) + 2)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(cells[out], pa.int64())], names=["cell", "n"])
+                    held.append(own)
+                    rows += len(own)
+                    if rows >= BLOCK:
+                        yield often(held)
+                        held, rows = [], 0
+        if held:
+            yield often(held)
+
+    counted = save(docs.select(text).mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")), "join_heavy")
+    levels = dict(counted.groupBy(F.floor(F.log2("n")).alias("level")).count().collect())  # 64 rows at most
+    least, total = 64, 0
+    for level in sorted(levels, reverse=True):
+        total += levels[level]
+        if total > HEAVY:
+            break
+        least = level
+    found = counted.where(F.floor(F.log2("n")) >= least).toArrow()  # HEAVY rows at most
+    discard(counted)
+    runs, count = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(runs)
+    return runs[order], np.minimum(count[order], 2**31 - 1).astype(np.int32)
+
 
-    found = docs.select(text).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
-    cells = np.zeros(CELLS, np.int32)
-    cells[found.column(0).to_numpy()] = np.minimum(found.column(1).to_numpy(), 2**31 - 1)
-    return cells
+def counts_of(own: np.ndarray, runs: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The counts of the runs of a set; 0 for those that aren't among the frequent ones."""
+    if not len(runs):
+        return np.zeros(len(own), np.int32)
+    at = np.minimum(np.searchsorted(runs, own), len(runs) - 1)
+    return np.where(runs[at] == own, count[at], 0)
 
 
 def prefix_length(size: int, percent: int) -> int:
@@ -77,21 +102,21 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def prefixes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """Per row: key, node (null: empty set), size, prefix (hashes in order), spread (sizes between the pivots)."""
+    """Per row: key, node (null: empty set), size, prefix (hashes in order), spread and fine (sizes between pivots)."""
     spark = docs.sparkSession
-    heavy = spark.sparkContext.broadcast(heavy_cells(docs, text, n))
-    schema = StructType([docs.schema[key], StructField("node", LongType()), StructField("size", LongType()), StructField("prefix", BinaryType()), StructField("spread", BinaryType())])
+    heavy = spark.sparkContext.broadcast(heavy_runs(docs, text, n))
+    schema = StructType([docs.schema[key], StructField("node", LongType()), StructField("size", LongType()), StructField("prefix", BinaryType()), StructField("spread", BinaryType()), StructField("fine", BinaryType())])
 
     def run(batches):
-        cells = heavy.value
+        runs, counts = heavy.value
         for batch in batches:
-            nodes, sizes, firsts, spreads = [], [], [], []
+            nodes, sizes, firsts, spreads, fines = [], [], [], [], []
             for own in _sets(batch.column(1), n):
                 sizes.append(len(own))
                 if not len(own):
-                    nodes.append(None), firsts.append(None), spreads.append(None)
+                    nodes.append(None), firsts.append(None), spreads.append(None), fines.append(None)
                     continue
-                count = cells[(own & np.uint64(CELLS - 1)).astype(np.int64)]
+                count = counts_of(own, runs, counts)
                 length = prefix_length(len(own), percent)
                 light = own[count == 0]
                 if len(light) >= length:
@@ -101,7 +126,8 @@ def prefixes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
                 nodes.append(node_of(own))
                 firsts.append(first.tobytes())
                 spreads.append(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=PIVOTS).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.binary()), pa.array(spreads, pa.binary())], names=schema.names)
+                fines.append(fine_spread(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.binary()), pa.array(spreads, pa.binary()), pa.array(fines, pa.binary())], names=schema.names)
 
     return docs.select(key, text).mapInArrow(run, schema)
 
@@ -332,9 +358,10 @@ def _fine_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
-    """The linked ones of pairs (a, b): each pair's texts are read and compared once."""
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
+    """The linked ones of pairs (a, b): the texts of those that pass the fine filter are read and compared once."""
     spark = docs.sparkSession
+    pairs = save(_fine_filter(pairs, nodes, percent), "join_pairs")
     wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "join_wanted")
     sent = None
     if wanted.count() <= IN_PLAN:
@@ -348,14 +375,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, text: str, n: int, percent: int)
                 at = np.minimum(np.searchsorted(all_, nodes), max(0, len(all_) - 1))
                 keep = all_[at] == nodes if len(all_) else np.zeros(len(nodes), bool)
                 batch, nodes = batch.filter(pa.array(keep)), nodes[keep]
-            fine = [fine_spread(own) for own in _sets(batch.column(0), n)]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0).cast(pa.string()), pa.array(fine, pa.binary())], names=["node", "text", "fine"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0).cast(pa.string())], names=["node", "text"])
 
-    found = docs.select(text).mapInArrow(texts, "node long, text string, fine binary")
+    found = docs.select(text).mapInArrow(texts, "node long, text string")
     if sent is None:
         found = found.join(wanted, "node", "left_semi")
-    own = save(found.groupBy("node").agg(F.first("text").alias("text"), F.first("fine").alias("fine")), "join_texts")
-    pairs = save(_fine_filter(pairs, own, percent), "join_pairs")
+    own = save(found.groupBy("node").agg(F.first("text").alias("text")), "join_texts")
     side = lambda c: own.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "ta", "b", "tb")
 
@@ -400,10 +425,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
 
     The links hold every link between different components of what the stars join, and enough of the others to make each component."""
     rows = save(prefixes(docs, key, text, n, percent), "join_sets")
-    nodes = save(rows.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("spread").alias("spread")), "join_nodes")
+    nodes = save(rows.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("spread").alias("spread"), F.first("fine").alias("fine")), "join_nodes")
     buckets = save(_buckets(_entries(nodes), percent), "join_buckets")
     first = save(_suffix_filter(buckets.where("b is not null").select("a", "b").distinct(), nodes, percent), "join_pairs")
-    links = _verify(first, docs, text, n, percent)
+    links = _verify(first, nodes, docs, text, n, percent)
     label = save(components(links), "join_labels")
     members = buckets.where("b is null").select(F.col("a").alias("node"), "run", "size", "place")
     named = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -413,7 +438,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     if second.isEmpty():
         found = links
     else:
-        more = _verify(second, docs, text, n, percent)
+        more = _verify(second, nodes, docs, text, n, percent)
         label, old = save(components(links.unionAll(more)), "join_labels"), label
         found = links.unionAll(more)
         discard(old)
