@@ -7,13 +7,14 @@ of a digest of the set); copies are never paired. Two nodes link when 100 * |int
    frequent (HEAVY at most) are sent to all tasks. Every set is put in order of (count, hash): runs that many texts share come
    last, whatever the counts miss only costs time. Two linked sets share one of their first s - ceil(t s) + 1 runs in that order.
 2. *Buckets.* The prefixes are dealt by run. A bucket of up to SMALL nodes hands on all its pairs that pass the length and
-   positional filters. A larger bucket first hands on a star only: pairs with one node of their length class.
+   positional filters. A larger bucket first hands on a star only: pairs with one node of their length class. Of its stars a
+   node keeps the STARS whose centres it meets in the most buckets.
 3. Each candidate pair goes once through the suffix filter (sets are cut at 64 fixed pivots of the hash space; the sum of the
    smaller sides bounds the intersection), then through the same filter with about one cell for two runs; of what is left
    both texts are read and compared exactly.
 4. *Components* of the links found (large star, small star). Large buckets whose nodes lie in one component are done: any link
-   inside adds nothing. Of the others, the pairs between different components go through the filters inside the bucket and then step 3, so
-   no link between different components is lost while groups of near copies aren't paired all with all.
+   inside adds nothing. Of the others, the pairs between different components go through the filters inside the bucket, but for
+   pairs that an earlier run is known to bring together (each entry holds the SEEN runs of its node before it), and then step 3, so no link between different components is lost while groups of near copies aren't paired all with all.
 
 Null, empty and blank texts have an empty set, link with nothing, and are their own component. Rows with equal ids are
 rows of their own; a null id takes no part in the smallest id, and is the component of a group of null ids only.
@@ -25,13 +26,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from .common import discard, hash_shingles, hash_words, save, text_buffer
 
-SMALL, PIVOTS = 3, 64
+SMALL, PIVOTS, STARS, SEEN = 3, 64, 3, 16
 BLOCK, OFTEN, HEAVY = 1 << 23, 3, 1 << 22  # runs counted at a time; sets of a block that make a run frequent; runs (12 bytes each) sent to all tasks
 STAR_CLASS = 1.25
 OPEN_ROWS = 50_000  # a bucket with more goes on in parts, only its centre held
@@ -147,8 +148,8 @@ def _entries(nodes: DataFrame) -> DataFrame:
 
 
 def _can_link(size_x, place_x, size_y, place_y, percent: int):
-    """Length and positional filter (size_x <= size_y), on arrays."""
-    most = np.minimum(place_x, place_y) + 1 + np.minimum(size_x - place_x - 1, size_y - place_y - 1)
+    """Length and positional filter (size_x <= size_y), on arrays: whether sets whose first common run is this one can link."""
+    most = np.minimum(size_x - place_x, size_y - place_y)
     return (100 * size_x >= percent * size_y) & ((100 + percent) * most >= percent * (size_x + size_y))
 
 
@@ -156,7 +157,7 @@ PAIRS = StructType([StructField("a", LongType()), StructField("b", LongType()),
 
 
 def _buckets(entries: DataFrame, percent: int) -> DataFrame:
-    """Of each bucket: candidate pairs (a < b, run null); of large ones also the members (a, run, size, place; b null)."""
+    """Of each small bucket: candidate pairs (a < b); of each large one stars (a: centre, b, size: buckets) and members (a, run, size, place; b null)."""
 
     def run(batches):
         held, big = None, None  # rows of the bucket that is still open; the centres of an open large bucket
@@ -189,12 +190,23 @@ def _buckets(entries: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, PAIRS)
 
 
-def _pair_rows(a: np.ndarray, b: np.ndarray):
-    if len(a):
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        none = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *none], names=PAIRS.names)
+def _pair_rows(a: np.ndarray, b: np.ndarray, star: bool = False):
+    if star:
+        pairs, count = np.unique(np.stack([a, b], 1)[a != b], axis=0, return_counts=True)
+        count = pa.array(count, pa.int32())
+    else:
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+        count = pa.nulls(len(pairs), pa.int32())
+    if len(pairs):
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64()), count, pa.nulls(len(pairs), pa.int32())], names=PAIRS.names)
+
+
+def _first_pairs(buckets: DataFrame) -> DataFrame:
+    """a, b (a < b): all pairs of small buckets, and of each node its STARS best stars."""
+    pairs = buckets.where("b is not null")
+    best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
+    stars = pairs.where("size is not null").groupBy("a", "b").agg(F.sum("size").alias("n")).withColumn("k", F.row_number().over(best)).where(F.col("k") <= STARS)
+    return pairs.where("size is null").select("a", "b").unionAll(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def _member_rows(run, node, size, place):
@@ -234,7 +246,7 @@ def _work(cols, percent: int):
         cls = _classes(size)
         head = new.copy()
         head[1:] |= cls[1:] != cls[:-1]
-        yield from _pair_rows(_centres(node, head), node)
+        yield from _pair_rows(_centres(node, head), node, star=True)
 
 
 def _centres(node: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -251,7 +263,7 @@ def _large(cols, big):
     centre = _centres(node, head)
     if big is not None:
         centre = np.where(cls == big[1], big[2], centre)
-    return [*_member_rows(run, node, size, place), *_pair_rows(centre, node)], (run[0], cls[-1], centre[-1])
+    return [*_member_rows(run, node, size, place), *_pair_rows(centre, node, star=True)], (run[0], cls[-1], centre[-1])
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
@@ -262,7 +274,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         held = None
         for batch in batches:
-            cols = [*(c.to_numpy() for c in batch.columns[:5]), _spreads(batch.column(5))]
+            cols = [*(c.to_numpy() for c in batch.columns[:5]), _spreads(batch.column(5)), _befores(batch.column(6))]
             if held is not None:
                 cols = [np.concatenate((h, c)) for h, c in zip(held, cols)]
             if not len(cols[0]):
@@ -273,7 +285,8 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
         if held is not None:
             yield from _cross(held, percent)
 
-    return members.repartition("run").sortWithinPartitions("run", "size", "node").select("run", "node", "size", "place", "component", "spread").mapInArrow(run, "a long, b long")
+    ordered = members.repartition("run").sortWithinPartitions("run", "size", "node")
+    return ordered.select("run", "node", "size", "place", "component", "spread", "before").mapInArrow(run, "a long, b long")
 
 
 def _cross(cols, percent: int):
@@ -282,7 +295,7 @@ def _cross(cols, percent: int):
     first = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1])))
     found: list[np.ndarray] = []
     for s, e in zip(first, np.append(first[1:], len(cols[0]))):
-        _, node, size, place, component, spread = (c[s:e] for c in cols)
+        _, node, size, place, component, spread, before = (c[s:e] for c in cols)
         if (component == component[0]).all():
             continue
         reach = np.searchsorted(100 * size.astype(np.int64), percent * size.astype(np.int64))  # no smaller set links
@@ -291,6 +304,9 @@ def _cross(cols, percent: int):
             ok = (component[lo:i] != component[i]) & _can_link(size[lo:i], place[lo:i], size[i], place[i], percent)
             at = lo + np.flatnonzero(ok)
             at = at[_can_share(spread[at], spread[i], size[at].astype(np.int64) + int(size[i]), percent)]
+            mine = before[i][before[i] != 0]
+            if len(mine) and len(at):
+                at = at[~(before[at][:, :, None] == mine).any((1, 2))]
             if len(at):
                 other = node[at]
                 found.append(np.stack([np.minimum(other, node[i]), np.maximum(other, node[i])], 1))
@@ -310,6 +326,14 @@ def _spreads(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, PIVOTS)
 
 
+def _befores(column: pa.Array) -> np.ndarray:
+    """Lists of up to SEEN runs as rows of a matrix, filled up with 0."""
+    count = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(column), SEEN), np.int64)
+    out[np.arange(SEEN) < count[:, None]] = column.flatten().to_numpy()
+    return out
+
+
 def _can_share(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     """Suffix filter: whether sets cut at the pivots can share enough; sizes: the sum of both sets' sizes."""
     return (100 + percent) * np.minimum(x, y).sum(-1, dtype=np.int64) >= percent * sizes
@@ -427,13 +451,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     rows = save(prefixes(docs, key, text, n, percent), "join_sets")
     nodes = save(rows.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("spread").alias("spread"), F.first("fine").alias("fine")), "join_nodes")
     buckets = save(_buckets(_entries(nodes), percent), "join_buckets")
-    first = save(_suffix_filter(buckets.where("b is not null").select("a", "b").distinct(), nodes, percent), "join_pairs")
+    first = save(_suffix_filter(_first_pairs(buckets), nodes, percent), "join_pairs")
     links = _verify(first, nodes, docs, text, n, percent)
     label = save(components(links), "join_labels")
     members = buckets.where("b is null").select(F.col("a").alias("node"), "run", "size", "place")
     named = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("run")
-    apart = named.join(mixed, "run", "left_semi").join(nodes.select("node", "spread"), "node")
+    earlier = Window.partitionBy("node").orderBy("place").rowsBetween(-SEEN, -1)
+    apart = named.join(mixed, "run", "left_semi").withColumn("before", F.collect_list("run").over(earlier)).join(nodes.select("node", "spread"), "node")
     second = save(_across(apart, percent).distinct().join(first, ["a", "b"], "left_anti"), "join_pairs")
     if second.isEmpty():
         found = links
