@@ -118,6 +118,34 @@ def test_join_matches_brute_force(spark):
     assert got == {i: (len(s), label[i]) for i, s in enumerate(sets)}
 
 
+def test_join_of_groups_that_share_passages(spark):
+    """Groups far from their centres, with passages across groups: the second pass and its skipped pairs lose no link."""
+    rng = random.Random(11)
+    words = [f"v{i}" for i in range(2000)]
+    draw = lambda k: [rng.choice(words) for _ in range(k)]
+    passages, texts = [draw(40) for _ in range(3)], []
+    for _ in range(10):
+        base = rng.choice(passages) + draw(rng.randint(40, 120))
+        chain = base
+        for i in range(25):
+            own = list(chain)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            if i % 3 == 0:
+                chain = own
+            texts.append(" ".join(own))
+    rng.shuffle(texts)
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    got = {r.doc_id: r.component_id for r in ngram_join.groups(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(label))
+
+
 def test_join_in_parts_of_a_large_bucket():
     n = 500
     cols = [np.full(n, 7), np.arange(n), np.full(n, 50, np.int32), np.zeros(n, np.int32)]
