@@ -15,6 +15,8 @@ of a digest of the set); copies are never paired. Two nodes link when 100 * |int
 4. *Components* of the links found (large star, small star). Large buckets whose nodes lie in one component are done: any link
    inside adds nothing. Of the others, the pairs between different components go through the filters inside the bucket, but for
    pairs that an earlier run is known to bring together (each entry holds the SEEN runs of its node before it), and then step 3, so no link between different components is lost while groups of near copies aren't paired all with all.
+   This is what groups() does, which needs components only. join() returns every link: it has no stars, and in step 4 each
+   node counts as its own component. A large bucket is cut into parts of about PART nodes; every two parts meet in one cell.
 
 Null, empty and blank texts have an empty set, link with nothing, and are their own component. Rows with equal ids are
 rows of their own; a null id takes no part in the smallest id, and is the component of a group of null ids only.
@@ -35,6 +37,7 @@ from .common import discard, hash_shingles, hash_words, save, text_buffer
 SMALL, PIVOTS, STARS, SEEN = 3, 64, 3, 16
 BLOCK, OFTEN, HEAVY = 1 << 23, 3, 1 << 22  # runs counted at a time; sets of a block that make a run frequent; runs (12 bytes each) sent to all tasks
 STAR_CLASS = 1.25
+PART = 4096  # nodes of a bucket that meet in one cell
 OPEN_ROWS = 50_000  # a bucket with more goes on in parts, only its centre held
 IN_PLAN = 3_000_000  # node numbers (8 bytes each) that may be sent to all tasks; more are joined
 
@@ -201,9 +204,11 @@ def _pair_rows(a: np.ndarray, b: np.ndarray, star: bool = False):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64()), count, pa.nulls(len(pairs), pa.int32())], names=PAIRS.names)
 
 
-def _first_pairs(buckets: DataFrame) -> DataFrame:
-    """a, b (a < b): all pairs of small buckets, and of each node its STARS best stars."""
+def _first_pairs(buckets: DataFrame, every: bool = False) -> DataFrame:
+    """a, b (a < b): all pairs of small buckets, and, if not every, of each node its STARS best stars."""
     pairs = buckets.where("b is not null")
+    if every:
+        return pairs.where("size is null").select("a", "b").distinct()
     best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
     stars = pairs.where("size is not null").groupBy("a", "b").agg(F.sum("size").alias("n")).withColumn("k", F.row_number().over(best)).where(F.col("k") <= STARS)
     return pairs.where("size is null").select("a", "b").unionAll(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
@@ -267,41 +272,51 @@ def _large(cols, big):
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in the large buckets that pass the length, positional and suffix filters.
+    """Pairs of different components in the large buckets (n: their nodes) that pass the length, positional and suffix filters.
 
     The suffix filter is applied inside the bucket, so that pairs it drops are never written."""
 
     def run(batches):
         held = None
         for batch in batches:
-            cols = [*(c.to_numpy() for c in batch.columns[:5]), _spreads(batch.column(5)), _befores(batch.column(6))]
+            cols = [*(c.to_numpy() for c in batch.columns[:7]), _spreads(batch.column(7)), _befores(batch.column(8))]
             if held is not None:
                 cols = [np.concatenate((h, c)) for h, c in zip(held, cols)]
             if not len(cols[0]):
                 continue
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            cut = int(_heads(cols)[-1])
             yield from _cross([c[:cut] for c in cols], percent)
             held = [c[cut:] for c in cols]
         if held is not None:
             yield from _cross(held, percent)
 
-    ordered = members.repartition("run").sortWithinPartitions("run", "size", "node")
-    return ordered.select("run", "node", "size", "place", "component", "spread", "before").mapInArrow(run, "a long, b long")
+    parts = members.withColumn("parts", F.ceil(F.col("n") / PART)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    met = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = met.withColumn("cell", F.shiftleft(F.least("part", "other"), 31) + F.greatest("part", "other"))
+    ordered = cells.repartition("run", "cell").sortWithinPartitions("run", "cell", "size", "node")
+    return ordered.select("run", "cell", "node", "size", "place", "component", "part", "spread", "before").mapInArrow(run, "a long, b long")
+
+
+def _heads(cols) -> np.ndarray:
+    """Where a cell of a bucket begins."""
+    run, cell = cols[:2]
+    return np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (cell[1:] != cell[:-1]))))
 
 
 def _cross(cols, percent: int):
     if not len(cols[0]):
         return
-    first = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1])))
+    first = _heads(cols)
     found: list[np.ndarray] = []
     for s, e in zip(first, np.append(first[1:], len(cols[0]))):
-        _, node, size, place, component, spread, before = (c[s:e] for c in cols)
+        _, cell, node, size, place, component, part, spread, before = (c[s:e] for c in cols)
         if (component == component[0]).all():
             continue
+        one_part = cell[0] >> 31 == cell[0] & (1 << 31) - 1
         reach = np.searchsorted(100 * size.astype(np.int64), percent * size.astype(np.int64))  # no smaller set links
         for i in range(1, len(node)):
             lo = reach[i]
-            ok = (component[lo:i] != component[i]) & _can_link(size[lo:i], place[lo:i], size[i], place[i], percent)
+            ok = (component[lo:i] != component[i]) & (one_part | (part[lo:i] != part[i])) & _can_link(size[lo:i], place[lo:i], size[i], place[i], percent)
             at = lo + np.flatnonzero(ok)
             at = at[_can_share(spread[at], spread[i], size[at].astype(np.int64) + int(size[i]), percent)]
             mine = before[i][before[i] != 0]
@@ -444,21 +459,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return own.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(own.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, every: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows (key, node, size), links (a, b: verified pairs of nodes) and labels (node, component: a node) of the texts of docs.
 
-    The links hold every link between different components of what the stars join, and enough of the others to make each component."""
+    The links are all there are between different nodes. Without every: every link between different components of what the stars
+    join, and enough of the others to make each component."""
     rows = save(prefixes(docs, key, text, n, percent), "join_sets")
     nodes = save(rows.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("spread").alias("spread"), F.first("fine").alias("fine")), "join_nodes")
     buckets = save(_buckets(_entries(nodes), percent), "join_buckets")
-    first = save(_suffix_filter(_first_pairs(buckets), nodes, percent), "join_pairs")
+    first = save(_suffix_filter(_first_pairs(buckets, every), nodes, percent), "join_pairs")
     links = _verify(first, nodes, docs, text, n, percent)
     label = save(components(links), "join_labels")
     members = buckets.where("b is null").select(F.col("a").alias("node"), "run", "size", "place")
-    named = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("run")
+    named = members.withColumn("component", F.col("node")) if every else members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = named.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("run", "n")
     earlier = Window.partitionBy("node").orderBy("place").rowsBetween(-SEEN, -1)
-    apart = named.join(mixed, "run", "left_semi").withColumn("before", F.collect_list("run").over(earlier)).join(nodes.select("node", "spread"), "node")
+    apart = named.join(mixed, "run").withColumn("before", F.collect_list("run").over(earlier)).join(nodes.select("node", "spread"), "node")
     second = save(_across(apart, percent).distinct().join(first, ["a", "b"], "left_anti"), "join_pairs")
     if second.isEmpty():
         found = links
@@ -473,7 +489,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: key, n_shingles, component_id (the smallest key of its component)."""
-    rows, _, label = join(docs, key, text, n, percent)
+    rows, _, label = join(docs, key, text, n, percent, every=False)
     named = rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.where("component is not null").groupBy("component").agg(F.min(key).alias("component_id"))
     out = named.where("component is not null").join(least, "component").select(key, F.col("size").alias("n_shingles"), "component_id")

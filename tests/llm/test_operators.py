@@ -146,6 +146,28 @@ def test_join_of_groups_that_share_passages(spark):
     assert got == dict(enumerate(label))
 
 
+def test_join_returns_every_link(spark, monkeypatch):
+    """Near copies that share rare runs: all their links come, not a spanning subset; also where buckets are cut into parts."""
+    rng = random.Random(23)
+    words, texts = [f"u{i}" for i in range(3000)], [None, "", "one two", "ONE two"]
+    for copies in (2, 5, 12, 30):
+        base = [rng.choice(words) for _ in range(90)]
+        for _ in range(copies):
+            own = list(base)
+            for _ in range(rng.choice([1, 2, 9])):
+                own[rng.randrange(80, len(own))] = rng.choice(words)
+            texts.append(" ".join(own))
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    for part in (ngram_join.PART, 3):
+        monkeypatch.setattr(ngram_join, "PART", part)
+        rows, links, _ = ngram_join.join(docs(spark, texts))
+        node = {r.doc_id: r.node for r in rows.collect()}
+        want = {frozenset((node[i], node[j])) for i in range(len(sets)) for j in range(i) if node[i] != node[j] and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+        got = [frozenset((r.a, r.b)) for r in links.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert len(want) > 100
+
+
 def test_join_in_parts_of_a_large_bucket():
     n = 500
     cols = [np.full(n, 7), np.arange(n), np.full(n, 50, np.int32), np.zeros(n, np.int32)]
