@@ -84,25 +84,26 @@ _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers for windows of n bytes (WINDOW at most); only the largest table asked for is kept."""
     size = max(1 << 16, 1 << (n - 1).bit_length()) if n else 1 << 16
-    if size not in _tables:
+    if not (kept := [k for k in _tables if k >= size]):
+        _tables.clear()
         _tables[size] = (powers(POWER, size + 1), powers(pow(POWER, -1, 1 << 64), size + 1))
-        for old in [k for k in _tables if k < size or k > 4 * WINDOW != size]:
-            _tables.pop(old)
-    return _tables[size]
+        return _tables[size]
+    return _tables[kept[0]]
 
 
 def hash_words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts in a row (A-Z lower-cased; breaks: bytes between words), and the n + 1 offsets of the texts in them."""
-    hashes, starts, at, n = [], [], 0, len(data)
+    """64-bit hashes of the words of all texts in a row (A-Z lower-cased; breaks: bytes between words), and the n + 1 offsets of the texts in them.
+
+    Windows are of fixed size; the sum of a word that a window's end cuts goes on into the next, however long the word is."""
+    hashes, starts, n = [], [], len(data)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    while at < n:
-        end = min(n, at + WINDOW)
-        while end < n and not (edge[end] or breaks[data[end]]):
-            more = np.flatnonzero(edge[end : end + WINDOW] | breaks[np.append(data[end : end + WINDOW], 32)][: len(edge[end : end + WINDOW])])
-            end = min(n, end + (int(more[0]) if len(more) else WINDOW))
-        part = data[at:end]
+    held, length, begun = np.uint64(0), 0, 0  # of the word cut by the last window's end: sum and bytes so far, start
+    for at in range(0, n, WINDOW):
+        part = data[at : at + WINDOW]
+        end = at + len(part)
         inside, cut = ~breaks[part], edge[at : end + 1]
         first = inside & cut[:-1]
         first[0] |= inside[0]
@@ -114,9 +115,17 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE
         up, down = _powers(len(part))
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(VALUES[part] * up[: len(part)], out=sums[1:])
-        hashes.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))
-        starts.append(s + at)
-        at = end
+        own, size, start = (sums[e] - sums[s]) * down[s], (e - s).astype(np.uint64), s + at
+        if length:
+            own[:1] = held + own[:1] * np.uint64(pow(POWER, length, 1 << 64))
+            size[0] += np.uint64(length)
+            start[0] = begun
+            length = 0
+        if len(s) and e[-1] == len(part) and end < n and not (edge[end] or breaks[data[end]]):
+            held, length, begun = own[-1], int(size[-1]), int(start[-1])
+            own, size, start = own[:-1], size[:-1], start[:-1]
+        hashes.append(mix(own + size))
+        starts.append(start)
     hashes, starts = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((hashes, np.uint64), (starts, np.int64)))
     return hashes, np.searchsorted(starts, offsets)
 

@@ -5,10 +5,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenquarry.llm import bpe, chat, decontaminate, langid, ngram_join, pii, ppm, quality, token_files, vafile
+from lumenquarry.llm import bpe, chat, common, decontaminate, langid, ngram_join, pii, ppm, quality, token_files, vafile
 from lumenquarry.llm.queries import tokenizer
 
 ODD = ["", "a", " ", "  x  y ", "\n\n a\n", "don't <|endoftext|> x<|endoftext|>", "a" * 700, "日本語テキスト " * 30, "😀👍🏽 é ́", "1234567890 " * 30, "x" * 9999 + " " * 500 + "y", " " * 3000, "İstanbul ß ſ\x1c\x85q"]
@@ -177,6 +178,26 @@ def test_join_in_parts_of_a_large_bucket():
     assert pairs == {(0, i) for i in range(1, n)}
 
 
+def test_words_longer_than_windows():
+    """One text of 5 MB without a line end or space; words cut by windows hash as whole ones."""
+    long = ("ab1Z" * 1_300_000).encode()
+    data = np.frombuffer(b"x y " + long + b" z" + long + b"q", np.uint8)
+    offsets = np.array([0, 4 + len(long), len(data)])
+
+    def plain(word):
+        total, at = 0, 1
+        for b in word:
+            total, at = (total + int(common.VALUES[b]) * at) & common.MASK, at * common.POWER & common.MASK
+        return int(common.mix(np.array([(total + len(word)) & common.MASK], np.uint64))[0])
+
+    hashes, at = common.hash_words(data, offsets)
+    assert at.tolist() == [0, 3, 4] and hashes.tolist() == [plain(w) for w in (b"x", b"y", long, b"z" + long + b"q")]
+    assert all(len(up) <= 2 * common.WINDOW for up, _ in common._tables.values())
+    texts = pa.array(["a b\nc", long.decode(), long.decode() + " tail", None])
+    assert np.isfinite(quality.statistics(texts)).all()
+    assert [len(x) for x in ngram_join._sets(texts, 5)] == [1, 1, 1, 0]
+
+
 def test_decontamination(spark):
     words = [f"w{i}" for i in range(50)]
     items = spark.createDataFrame([(1, " ".join(words[:20])), (2, "Tiny item"), (3, None), (4, "..."), (5, " ".join(words[5:25]))], "item_id long, text string")
