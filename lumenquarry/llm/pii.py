@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import discard, save
 
 IN_PLAN, ROUNDS = 5_000, 40
+CODE_KEPT = 20  # draws of a phone number that keep its country code
 
 #: Titles that stand before names.
 TITLES = (
@@ -37,6 +38,8 @@ TITLES = (
 _WORD = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{1,30}+|[А-ЯЁ][а-яё]{1,30}+)"
 _TITLE = "(?:" + "|".join(TITLES) + r")\.? "
 _SECRET = r"""(?:[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]|[Pp][Aa][Ss][Ss][Ww](?:[Oo][Rr])?[Dd]|[Pp][Ww][Dd])["']?\s{0,2}[=:]\s{0,2}["']?"""
+#: The country codes of one and two digits; all others have three.
+_COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERN = "(?<![A-Za-z0-9])(?:" + "|".join((
     _SECRET + r"""[^\s"'=:<>][^\s"'<>]{5,199}""",
@@ -173,7 +176,8 @@ def surrogate(kind: Column, found: Column, key: str, times: Column) -> Column:
         return F.concat_ws(".", octet(0, 240, 15), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254))
 
     def phone(digest):
-        code = F.when(found.startswith("+"), F.regexp_extract(found, r"^\+(\d{1,3})(?=[ .(-])", 1)).otherwise(F.lit(""))
+        """The code comes from the normal form, so all spellings, and the check of collisions, draw the same digits."""
+        code = F.when(times < CODE_KEPT, F.regexp_extract(normal_form(kind, found), _COUNTRY, 1)).otherwise(F.lit(""))  # short numbers run out
         return _fill(found, F.concat(code, _digits(digest)), "[0-9]")
 
     def card(digest):

@@ -279,6 +279,17 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(got)) == len(texts) and not set(got) & set(texts)
 
 
+def test_phone_spellings_and_collisions(spark):
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    spellings = ["+17435553824", "+1 (743) 555-3824", "+1-743-555-3824", "+1 743.555.3824"]
+    short = [f"+49 {a:02d} {b:02d}" for a in range(10, 40) for b in range(10, 12)]  # 10,000 free numbers of 60: draws meet
+    short += [f"+99 1{a:01d} {b:02d}" for a in range(10) for b in range(10, 13)]
+    got = [r.text for r in pii.replace(docs(spark, [*spellings, *short]), "k").orderBy("doc_id").collect()]
+    assert len({digits(t) for t in got[:4]}) == 1 and all(t.startswith("+1") for t in got[:4])
+    assert all([c for c in a if not c.isdigit()] == [c for c in b if not c.isdigit()] for a, b in zip(got, [*spellings, *short]))
+    assert len({digits(t) for t in got[4:]}) == len(short) and not {digits(t) for t in got} & {digits(t) for t in short}
+
+
 def test_language(spark):
     train = spark.createDataFrame([("the cat and the dog are here " * 5, "en"), ("der hund und die katze sind hier " * 5, "de"), (None, "en"), ("x", None)], "text string, lang string")
     pages = spark.createDataFrame([(1, "https://a.example.de/x", '<html lang="de"><p>die katze und der hund</p>'), (2, "https://b.example.com/", "<p>the dog and the cat</p>"), (3, None, None), (4, "https://a.example.de/y", "<p>12</p>")], "page_id long, url string, html string")
