@@ -1,7 +1,8 @@
 """Personal data replaced by surrogates, in DataFrame functions only (operator 3).
 
 *Detection.* One pattern finds e-mail addresses, IPv4 addresses, payment cards, phone numbers, social security numbers, IBANs,
-access keys and secrets after a name such as ``password=``, and names after a title (Latin and Cyrillic).
+access keys and secrets after a name such as ``password=`` (to their end), and names after a title (Latin and Cyrillic; all
+name words that follow), with the other mentions of these words in the same text.
 
 *Surrogates.* sha2 of (key, kind, normal form, round) gives the characters: a digit for a digit, a letter for a letter of
 the same case, script and kind (vowel or not), marks as they are. Kinds keep what makes them one: an e-mail
@@ -35,14 +36,19 @@ TITLES = (
     "Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "господин", "г-н", "Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "госпожа", "г-жа", "Dr", "Prof", "Professor",
 )
 
-_WORD = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{1,30}+|[А-ЯЁ][а-яё]{1,30}+)"
 _TITLE = "(?:" + "|".join(TITLES) + r")\.? "
 _SECRET = r"""(?:[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]|[Pp][Aa][Ss][Ss][Ww](?:[Oo][Rr])?[Dd]|[Pp][Ww][Dd])["']?\s{0,2}[=:]\s{0,2}["']?"""
 #: The country codes of one and two digits; all others have three.
 _COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿА-Яа-яЁё"
+_CAPITAL = "A-ZÀ-ÖØ-ÞА-ЯЁ"
+#: A name's word: inner capitals, hyphens before a capital, apostrophes but those of 's, 'll and the like; no title, secret or address.
+_WORD = (
+    rf"(?!{_TITLE}|{_SECRET}|[A-Za-z0-9._%+-]{{1,64}}@)[{_CAPITAL}](?:[{_LETTER}]|-(?=[{_CAPITAL}])|['’](?=[{_LETTER}])(?!(?:s|d|m|t|ll|ve|re)(?![{_LETTER}])))++(?![0-9_])"
+)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERN = "(?<![A-Za-z0-9])(?:" + "|".join((
-    _SECRET + r"""[^\s"'=:<>][^\s"'<>]{5,199}""",
+    _SECRET + r"""[^\s"'=:<>][^\s"'<>]{5,}+""",
     r"(?<![._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}",
     rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     r"[3-6]\d{3}(?:[ -]?\d{4}){3}(?![\dA-Za-z])",
@@ -53,7 +59,7 @@ PATTERN = "(?<![A-Za-z0-9])(?:" + "|".join((
     r"(?<!-)\d{3}-\d{2}-\d{4}(?![\w-])",
     r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
-    rf"{_TITLE}{_WORD}(?: {_WORD})?",
+    rf"{_TITLE}{_WORD}(?: {_WORD})*+",
 )) + ")"
 MARK = "\ufdd0"  # a noncharacter: texts that hold it take the way with two passes of the pattern
 
@@ -195,7 +201,8 @@ def surrogate(kind: Column, found: Column, key: str, times: Column) -> Column:
         return let(_letters(F.substring(bare, 5, 40), digest), lambda body: _fill(found, F.concat(land, check(body), body), "[^ ]"))
 
     def secret(digest):
-        hexes = F.concat(digest, *(F.sha2(F.concat(digest, F.lit(str(i))), 256) for i in range(3)))
+        block = F.concat(digest, *(F.sha2(F.concat(digest, F.lit(str(i))), 256) for i in range(3)))
+        hexes = F.repeat(block, F.ceil(F.length(found) / 256).cast("int"))
         return F.when(found.rlike("^[0-9a-f]{8,}$"), F.substring(hexes, F.lit(1), F.length(found))).otherwise(_letters(found, digest))
 
     def name(digest):
@@ -216,6 +223,21 @@ def surrogate(kind: Column, found: Column, key: str, times: Column) -> Column:
     return let(sha(kind, normal_form(kind, found), times.cast("string")), of)
 
 
+def with_bare_names(found: DataFrame) -> DataFrame:
+    """found (__parts, and __e of the matches between them) with the other mentions of each text's detected names as matches too."""
+    words = F.array_distinct(F.transform(F.filter(F.flatten("__e"), lambda e: e["kind"] == "name"), lambda e: e["found"]))
+    longest = F.array_sort(words, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    one = F.concat(F.lit(rf"(?<![{_LETTER}0-9_])(?:"), F.array_join(longest, "|"), F.lit(rf")(?![{_LETTER}0-9_])"))  # names hold letters, hyphens and apostrophes only
+    found = found.withColumn("__bare", F.when(F.size(words) > 0, one))
+    mention = lambda w: F.array(F.struct(F.lit("").alias("before"), F.lit("name").alias("kind"), w.alias("found")))
+    matches = lambda p, i: F.concat(F.transform(F.regexp_extract_all(p, F.col("__bare"), F.lit(0)), mention), F.slice("__e", i + 1, F.lit(1)))
+    named = F.col("__bare").isNotNull()
+    return found.withColumns({
+        "__parts": F.when(named, F.flatten(F.transform("__parts", lambda p: F.split(p, F.col("__bare"), -1)))).otherwise(F.col("__parts")),
+        "__e": F.when(named, F.flatten(F.transform("__parts", matches))).otherwise(F.col("__e")),
+    })
+
+
 def entities(docs: DataFrame, text: str) -> DataFrame:
     """kind, normal: the distinct entities of all texts."""
     found = F.explode(F.flatten(F.transform(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)), units)))
@@ -275,6 +297,7 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         "__parts": F.when(odd, F.split(F.col(text), PATTERN, -1)).otherwise(every("__marked", 0)),
         "__e": F.transform(F.when(odd, F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).otherwise(every("__marked", 1)), units),
     })
+    found = with_bare_names(found)
     id_ = lambda k, f: F.concat(k, F.lit("\x1f"), normal_form(k, f))
     times = lambda e: F.lit(0)
     if (n := again.limit(IN_PLAN + 1).count()) and n <= IN_PLAN:

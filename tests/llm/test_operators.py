@@ -290,6 +290,28 @@ def test_phone_spellings_and_collisions(spark):
     assert len({digits(t) for t in got[4:]}) == len(short) and not {digits(t) for t in got} & {digits(t) for t in short}
 
 
+def test_surrogates_cover_whole_entities(spark):
+    jwt, hexes = "eyJhbGci." + "aZ09_x" * 100 + ".Qend", "0a1b2c3d" * 60
+    texts = [
+        f"token={jwt} api_key: {hexes} end",
+        "Smith left. Dr. Anna Maria Smith and Smith's dog; Mr. McDonald, Mrs. Anna Smith-Jones, Mr. O'Brien's. Smithson stays, Smith went, McDonald too.",
+        "Prof. Dr. Weber Token=abcdef123 Mr. Jones john.doe@mail.com Mr. Jones Mr. Brown",
+        "\ufdd0 Mr. Smith and Smith",
+        "Smith without title stays",
+    ]
+    got = {r.doc_id: r for r in pii.replace(docs(spark, texts), "k").collect()}
+    secret, key = got[0].text.split()[0].removeprefix("token="), got[0].text.split()[2]
+    assert (len(secret), len(key)) == (len(jwt), len(hexes)) and "Qend" not in secret and set(key) <= set("0123456789abcdef") and key != hexes
+    words = got[1].text.replace(",", "").replace(";", "").replace(".", "").split()
+    assert not any(x in got[1].text.replace("Smithson", "") for x in ("Smith", "Anna", "Maria", "Donald", "Jones", "Brien"))
+    assert "Smithson stays" in got[1].text
+    smith = words[0]
+    assert words[5] == smith and words[7] == f"{smith}'s" and words[-4] == smith and words[-2] == words[10] and words[15].endswith("'s")
+    assert not any(x in got[2].text for x in ("Weber", "abcdef123", "Jones", "doe@", "Brown")) and got[2].text.startswith("Prof. Dr. ") and " Token=" in got[2].text
+    assert got[3].text.split()[2] == got[3].text.split()[4] == smith and got[4].text == texts[4]
+    assert got[3]["__kinds"] == ["name", "name"]
+
+
 def test_language(spark):
     train = spark.createDataFrame([("the cat and the dog are here " * 5, "en"), ("der hund und die katze sind hier " * 5, "de"), (None, "en"), ("x", None)], "text string, lang string")
     pages = spark.createDataFrame([(1, "https://a.example.de/x", '<html lang="de"><p>die katze und der hund</p>'), (2, "https://b.example.com/", "<p>the dog and the cat</p>"), (3, None, None), (4, "https://a.example.de/y", "<p>12</p>")], "page_id long, url string, html string")
