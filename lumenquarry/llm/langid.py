@@ -33,7 +33,10 @@ UND, UND_PRIOR, MOST_LANGUAGES = "und", 0.01, 512
 #: Letters and bytes beyond ASCII for themselves (A-Z as a-z), all others as a space.
 LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 TAGS = re.compile(r"(?is)<(script|style|nav|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]{1,10};")
-DECLARED = re.compile(r"""(?is)<html\b[^>]*?\b(?:xml:)?lang\s*=\s*["']?([a-z]{2,3})\b|<meta\b[^>]*content-language[^>]*content\s*=\s*["']?([a-z]{2,3})\b""")
+OPEN = re.compile(r"(?i)<(?:html|meta)\b")
+HTML, META = re.compile(r"(?i)<html\b"), re.compile(r"(?i)<meta\b")
+LANG = re.compile(r"""(?i)\b(?:xml:)?lang\s*=\s*["']?([a-z]{2,3})\b""")
+NAMED, CONTENT = re.compile(r"(?i)content-language"), re.compile(r"""(?i)content\s*=\s*["']?([a-z]{2,3})\b""")
 
 
 def triples(data: np.ndarray, offsets: np.ndarray):
@@ -101,8 +104,19 @@ def plain_text(html: str | None) -> str:
 
 
 def declared(html: str | None) -> str | None:
-    m = DECLARED.search(html[:65536]) if html else None  # a declaration stands at the top; the text is read whole
-    return (m[1] or m[2]).lower() if m else None
+    """The first declaration of the whole page; each stretch from a tag to the next > is read a fixed number of times."""
+    at = 0
+    while html and (tag := OPEN.search(html, at)):
+        at = html.find(">", tag.end()) + 1 or len(html)
+        part = html[tag.start() : at].removesuffix(">")
+        found = []
+        if (m := HTML.search(part)) and (said := LANG.search(part, m.end())):
+            found.append((m.start(), said[1]))
+        if (m := META.search(part)) and (named := NAMED.search(part, m.end())):
+            found += [(m.start(), said[1]) for said in [*CONTENT.finditer(part, named.end())][-1:]]
+        if found:
+            return min(found)[1].lower()
+    return None
 
 
 def evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], html: str | None = None, text: str | None = None) -> DataFrame:

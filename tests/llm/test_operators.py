@@ -320,6 +320,19 @@ def test_language(spark):
     assert {r.doc_id for r in langid.keep_identified(texts, train).collect()} >= {1}
 
 
+def test_declared_language_of_long_pages():
+    far = "<!-- " + "licence " * 20_000 + "-->"
+    meta = '<meta http-equiv="content-language" content="fr">'
+    assert langid.declared(f'{far}<html class="x" lang="de">') == "de" and langid.declared(f"<html><head>{far}{meta}") == "fr"
+    rng, parts = random.Random(7), ["<html ", "<meta ", ">", "lang=de ", 'xml:lang = "EN"', "content-language ", "content='fr' ", "content=it ", "contents ", "x", "\n", "<p lang=es>", "lang=deutsch "]
+    search = langid.re.compile(r"""(?is)<html\b[^>]*?\b(?:xml:)?lang\s*=\s*["']?([a-z]{2,3})\b|<meta\b[^>]*content-language[^>]*content\s*=\s*["']?([a-z]{2,3})\b""")
+    for _ in range(20_000):  # as one search over the whole page
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        m = search.search(page)
+        assert langid.declared(page) == ((m[1] or m[2]).lower() if m else None), page
+    assert langid.declared("<meta " * 200_000) is None  # in time that grows with the length only
+
+
 def test_quality(spark):
     rng = random.Random(2)
     good = lambda: " ".join(rng.choice(["the", "cat", "sat", "on", "mat", "dog", "ran"]) + str(rng.randint(0, 99)) for _ in range(60))
