@@ -12,7 +12,7 @@ from lumenquarry.llm import bpe, decontaminate, langid, ngram_join, pii
 from lumenquarry.llm.common import save, table
 from lumenquarry.llm.queries import SURROGATE_KEY, tokenizer
 
-ORACLE_SQL = None  # language posteriors, surrogates and BPE have no SQL form; tests/llm compare stages with brute force
+ORACLE_SQL = None  # language posteriors, surrogates and BPE have no SQL form; tests/llm compare the operators and the near-duplicate stage with brute force
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +21,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that of the smallest doc_id. Texts without words stay, repeated ids too."""
-    found = ngram_join.groups(docs)
-    gone = found.where((F.col("component_id") != F.col("doc_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each component stays: that of the smallest doc_id (nulls last), of equal ids the first. Texts without words stay."""
+    rows = save(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline_rows")
+    found = save(ngram_join.groups(rows, key="__row").where("n_shingles > 0"), "pipeline_groups")
+    named = found.join(rows.select("__row", "doc_id"), "__row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")).select(F.col("first.__row").alias("__row"))
+    gone = found.select("__row").join(first, "__row", "left_anti")
+    return rows.join(gone, "__row", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

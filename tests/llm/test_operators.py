@@ -169,6 +169,18 @@ def test_join_returns_every_link(spark, monkeypatch):
         assert len(want) > 100
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Repeated and null ids: one row of each group of copies stays, and every other text."""
+    import corpus_pipeline
+
+    base = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"}
+    near = lambda c: base[c] + " more"
+    rows = [(1, base["a"]), (5, near("a")), (5, base["b"]), (1, near("a")), (1, base["a"]), (None, near("a")), (None, base["c"]), (None, near("c")), (7, ""), (7, ""), (None, None), (3, base["d"]), (None, base["d"])]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    group = lambda t: t[0] if t else None
+    assert sorted((str(r.doc_id), group(r.text) or "-") for r in got) == sorted([("1", "a"), ("5", "b"), ("None", "c"), ("7", "-"), ("7", "-"), ("None", "-"), ("3", "d")])
+
+
 def test_join_in_parts_of_a_large_bucket():
     n = 500
     cols = [np.full(n, 7), np.arange(n), np.full(n, 50, np.int32), np.zeros(n, np.int32)]
