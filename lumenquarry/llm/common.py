@@ -1,13 +1,18 @@
-"""What the operators of this subpackage share: tables in the shared folder, Arrow helpers, word hashes.
+"""What the operators of this subpackage share: tables in the shared folder, Arrow helpers, words and their hashes.
 
-Text is hashed in numpy over whole Arrow buffers: a word's hash is a difference of running sums of
-byte values times powers of an odd number (modulo 2**64), which the splitmix finaliser then mixes.
+words_of() gives the words themselves, digests() 64 bits of a cryptographic digest of each. hash_words() is for statistics
+only, where two words of one hash do no harm: it works in numpy over whole Arrow buffers, and a word's hash is a difference of
+running sums of byte values times powers of an odd number (modulo 2**64), which the splitmix finaliser then mixes.
 Windows of about a megabyte keep the memory of a task bounded whatever a batch or text holds.
 """
 
 from __future__ import annotations
 
+import ctypes
+import re
 import uuid
+from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,27 +28,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one under /tmp where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, with a local master only, one under /tmp where that is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or "/tmp/checkpoints/lumenquarry").rstrip("/")
 
 
+_kept: list[str] = []  # what save() has written and discard() not deleted
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """df as written Parquet in the shared folder: cuts lineage, and a lost executor loses nothing of it."""
+    """df as written Parquet in the shared folder: cuts lineage, and a lost executor loses nothing of it. clear() deletes what is left."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _kept.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(conf).delete(found, True)
+    _kept.remove(path)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes tables of save() that no later plan reads."""
     for df in frames:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        path = jvm.org.apache.hadoop.fs.Path(df._written)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, df._written)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that operators of this process have written and that results may still read: call it when these are done with."""
+    for path in [*_kept]:
+        _delete(spark, path)
+
+
+def release() -> None:
+    """Gives memory that a task no longer uses back to the system: Python workers live on for other tasks. Call it when a task's own tables are gone."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def held_out(column: str, parts: int):
@@ -62,6 +93,39 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (raw[at[0] : at[-1]], at - at[0]) if len(column) else (raw[:0], np.zeros(1, np.int64))
 
 
+BREAK = re.compile(rb"[\x09-\x0d\x20]")
+
+
+def words_of(data: bytes, window: int = WINDOW) -> Iterator[list[bytes]]:
+    """The words `[^\\x20\\x09-\\x0D]+` of a text with A-Z lower-cased, in stretches of about a window (a longer word is whole)."""
+    at = 0
+    while at < len(data):
+        cut = BREAK.search(data, at + window) if at + window < len(data) else None
+        end = cut.start() if cut else len(data)
+        yield data[at:end].lower().split()
+        at = end
+
+
+class Digests(dict):
+    """64 bits of a digest of each word; a bounded memo."""
+
+    MOST, LONGEST = 150_000, 64
+
+    def __missing__(self, word: bytes) -> int:
+        out = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = out
+        return out
+
+
+def digests(data: bytes, memo: Digests) -> np.ndarray:
+    """Digests of the words of a text, in order."""
+    parts = [np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)) for words in words_of(data)]
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint64), *parts])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)

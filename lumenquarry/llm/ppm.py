@@ -6,11 +6,13 @@ c(s) / (n + d) and escape has d / (n + d) (estimate C). After an escape the symb
 the shorter one; they are a subset of its symbols, so one sum for each context tells what they take away. After order 0
 come the symbols never seen, all alike, of 256.
 
-*Pretrained.* Each task counts its five-byte runs and words, one shuffle adds the counts, so what is learned covers every
-training document. Shorter contexts' counts are sums of the longest ones'. The model goes to the tasks in blocks of at most
-`block` runs or words: all contexts that a chain of escapes visits, down to order 2, end in the same two bytes, so runs are
-dealt by those (at most 2**24 runs each; orders 1 and 0 have 65,536 and 256 cells), words by their hash. Each block takes
-one pass over the texts and adds to the sums so far.
+*Pretrained.* Each task counts its five-byte runs and words (by what they are, not by a hash), one shuffle adds the counts, so
+what is learned covers every training document. Shorter contexts' counts are sums of the longest ones'. One pass over the texts
+scores all runs and words that are among the `held` most frequent of training (their probabilities, sent to all tasks: the bound is
+checked); what a text holds besides goes, counted by text, through a shuffle: words meet the table of all words, distinct runs
+the trie of their block, and the sums go back to the text's row. All contexts that a chain of escapes visits, down to order 2,
+end in the same two bytes, so runs are dealt into blocks by those: about `block` runs each, at most 2**24 where two bytes have
+more; orders 1 and 0 have 65,536 and 256 cells. The number of passes doesn't depend on what was learned.
 
 *Adaptive.* `adaptive_bits` learns from the text itself as it goes, starting from nothing.
 
@@ -19,19 +21,24 @@ Null and empty texts are the end symbol alone. Without training documents every
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ByteType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, ByteType, DoubleType, LongType, StructField, StructType
 
-from .common import WINDOW, discard, hash_words, held_out, save, text_buffer
+from .common import WINDOW, discard, held_out, release, save, text_buffer, words_of
 
 ORDER, START, END = 4, 0xFE, 0xFF
-BLOCK = 4_000_000
-HELD = 3_000_000
+BLOCK = 500_000
+HELD_RUNS, HELD_WORDS = 1 << 21, 300_000  # sent to all tasks at most
+OPEN = 1_500_000  # runs that a task counts before it puts them together
+LONGEST = 64
 
 
 def runs(data: np.ndarray, offsets: np.ndarray):
@@ -62,7 +69,7 @@ def runs(data: np.ndarray, offsets: np.ndarray):
 
 
 class _Counts:
-    """Sums by key, put together whenever they grow beyond HELD."""
+    """Sums by key, put together whenever OPEN more have come."""
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -71,9 +78,12 @@ class _Counts:
     def add(self, keys: np.ndarray) -> None:
         self.parts.append(np.unique(keys, return_counts=True))
         self.size += len(self.parts[-1][0])
-        if self.size > HELD:
+        if self.size > OPEN:
             self.merge()
 
+    def full(self) -> bool:
+        return bool(self.parts) and len(self.parts[0][0]) > 2 * OPEN
+
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -91,35 +101,59 @@ def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[at], np.add.reduceat(counts, at)
 
 
-COUNTS = StructType([StructField("kind", ByteType()), StructField("key", LongType()), StructField("n", LongType())])
+def word_key(word: bytes) -> bytes:
+    """A word itself; of a long one a space, which no word holds, and its sha256."""
+    return word if len(word) <= LONGEST else b" " + hashlib.sha256(word).digest()
+
+
+def _texts(column: pa.Array):
+    for at in range(0, len(column), 256):
+        for text in column.slice(at, 256).cast(pa.large_binary()):
+            yield text.as_py() or b""
+
+
+COUNTS = StructType([StructField("kind", ByteType()), StructField("key", LongType()), StructField("word", BinaryType()), StructField("n", LongType())])
 RUN, WORD, DOCS = 0, 1, 2
 
 
 def count_corpus(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Counts over all texts: five-byte runs (kind 0), words by hash (1), documents (2)."""
+    """Counts over all texts: five-byte runs (kind 0, by key), words (1, by word_key), documents (2)."""
 
     def run(batches):
-        grams, words, n = _Counts(), _Counts(), 0
+        grams, words, n = _Counts(), Counter(), 0
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
             for code, _ in runs(data, offsets):
                 grams.add(code)
-            words.add(hash_words(data, offsets)[0])
+                if grams.full():  # the shuffle adds
+                    yield from _rows(RUN, *grams.merge())
+                    grams = _Counts()
+            for t in _texts(batch.column(0)):
+                for part in words_of(t):
+                    words.update(part)
+                if len(words) > HELD_WORDS:
+                    yield from _word_rows(words)
+                    words.clear()
             n += batch.num_rows
-            while words.size > HELD or (words.parts and len(words.parts[0][0]) > 2 * HELD):  # what is held goes on; the shuffle adds
-                yield from _rows(WORD, *words.merge())
-                words = _Counts()
         yield from _rows(RUN, *grams.merge())
-        yield from _rows(WORD, *words.merge())
+        yield from _word_rows(words)
         yield from _rows(DOCS, np.zeros(1, np.uint64), np.array([n]))
+        del grams, words
+        release()
 
-    return docs.select(text).mapInArrow(run, COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(run, COUNTS).groupBy("kind", "key", "word").agg(F.sum("n").alias("n"))
 
 
 def _rows(kind: int, keys: np.ndarray, counts: np.ndarray):
     for i in range(0, len(keys), 1 << 18):
         k = keys[i : i + (1 << 18)].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(counts[i : i + len(k)].astype(np.int64))], names=COUNTS.names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.nulls(len(k), pa.binary()), pa.array(counts[i : i + len(k)].astype(np.int64))], names=COUNTS.names)
+
+
+def _word_rows(words: Counter):
+    items = iter(words.items())
+    while part := list(islice(items, 1 << 16)):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), WORD, np.int8)), pa.array(np.zeros(len(part), np.int64)), pa.array([word_key(w) for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())], names=COUNTS.names)
 
 
 class Trie:
@@ -185,10 +219,20 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-SCORES = (("n_tokens", LongType()), ("n_known", LongType()), ("base_score", DoubleType()), ("score", DoubleType()))
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of counts with the largest n: whole powers of two, `most` at most."""
+    level = F.floor(F.log2("n"))
+    sizes = dict(counts.groupBy(level.alias("level")).count().collect())  # 64 rows at most
+    least, total = 64, 0
+    for at in sorted(sizes, reverse=True):
+        total += sizes[at]
+        if total > most:
+            break
+        least = at
+    return counts.where(level >= least)
 
 
-def score(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = (), block: int = BLOCK, held: tuple[int, int] = (HELD_RUNS, HELD_WORDS)) -> DataFrame:
     """Per row of docs: key, extra, n_tokens (words and an end), n_known of them seen in train, train_tokens,
     base_score (log10 under words alone, add-one) and score (log10 under the trie)."""
     spark = docs.sparkSession
@@ -196,80 +240,126 @@ def score(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "t
     sizes = {r.kind: (r.keys, r.n) for r in counts.groupBy("kind").agg(F.count("*").alias("keys"), F.sum("n").alias("n")).collect()}
     n_docs = sizes.get(DOCS, (0, 0))[1]
     total, distinct = sizes.get(WORD, (0, 0))[1] + n_docs, sizes.get(WORD, (0, 0))[0] + (n_docs > 0)
-    grams, words = counts.where(F.col("kind") == RUN), counts.where(F.col("kind") == WORD)
-    pair = F.expr("shiftright(key, 8) & 65535")
-    by_pair = grams.groupBy(pair.alias("pair"), F.expr("key & 255").alias("symbol")).agg(F.sum("n").alias("n"), F.count("*").alias("keys"))
-    cells = by_pair.groupBy(F.expr("pair & 255").alias("prev"), "symbol").agg(F.sum("n").alias("n")).collect()  # at most 65,536
+    grams, words = counts.where(F.col("kind") == RUN).select("key", "n"), counts.where(F.col("kind") == WORD).select("word", "n")
+    pair = lambda c: F.shiftright(c, 8).bitwiseAND(65535).cast("int")
+    by_pair = grams.groupBy(pair("key").alias("pair"), F.col("key").bitwiseAND(255).alias("symbol")).agg(F.sum("n").alias("n"), F.count("*").alias("keys"))
     pairs = np.zeros((256, 256), np.int64)
-    for r in cells:
+    for r in by_pair.groupBy(F.expr("pair & 255").alias("prev"), "symbol").agg(F.sum("n").alias("n")).collect():  # at most 65,536
         pairs[r.prev, r.symbol] = r.n
-    cuts, held = [0], 0
+    block_of, at, open_ = [0] * 65536, 0, 0
     for r in by_pair.groupBy("pair").agg(F.sum("keys").alias("keys")).orderBy("pair").collect():  # at most 65,536
-        if held and held + r["keys"] > block:
-            cuts.append(r.pair)
-            held = 0
-        held += r["keys"]
-    cuts.append(1 << 16)
-    word_blocks = max(1, -(-sizes.get(WORD, (0, 0))[0] // block))
+        if open_ and open_ + r["keys"] > block:
+            at, open_ = at + 1, 0
+        block_of[r.pair] = at
+        open_ += r["keys"]
+    context = Window.partitionBy(F.shiftright("key", 8))
+    valued = grams.withColumn("total", F.sum("n").over(context) + F.count("*").over(context))
+    top = frequent(valued, held[0]).select("key", F.log10(F.col("n") / F.col("total")).alias("value")).toArrow()  # held[0] rows at most
+    keys, values = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+    by = np.argsort(keys)
+    keys, values = keys[by], values[by]
+    top = frequent(words, held[1]).toArrow()  # held[1] rows at most
+    vocabulary = (top.column(0).to_pylist(), top.column(1).to_numpy())
+    sent = spark.sparkContext.broadcast((keys, values, vocabulary, total, distinct, n_docs))
     extra = tuple(c for c in extra if c not in (key, text))
-    out = docs.select(key, *extra, F.col(text).alias("__text"), *(F.lit(0).cast(t).alias(c) for c, t in SCORES))
-    for i in range(max(len(cuts) - 1, word_blocks)):
-        load = None
-        if i < len(cuts) - 1:
-            own = grams.where((pair >= cuts[i]) & (pair < cuts[i + 1])).select("key", "n").toArrow()
-            load = (own.column(0).to_numpy().view(np.uint64), own.column(1).to_numpy(), cuts[i], cuts[i + 1])
-        vocab = None
-        if i < word_blocks:
-            own = words.where(F.pmod("key", F.lit(word_blocks)) == i).select("key", "n").toArrow()
-            k, n = own.column(0).to_numpy().view(np.uint64), own.column(1).to_numpy()
-            by = np.argsort(k)
-            vocab = (k[by], n[by])
-        out = _pass(out, spark.sparkContext.broadcast((load, pairs, vocab, total, distinct, n_docs, word_blocks, i)))
-    discard_later = out.drop("__text").withColumn("train_tokens", F.lit(total).cast("long"))
-    discard(counts)
-    return discard_later
+    seen = save(_pass(docs.select(key, *extra, text), sent), "ppm_seen")
+    codes = seen.where(F.col("__kind") == RUN).select("__id", "__code", "__n")
+    value = _block_values(codes.select("__code").distinct(), grams, pairs, block_of, pair)
+    runs_ = codes.join(value, "__code").groupBy("__id").agg(F.sum(F.col("__n") * F.col("__value")).alias("__score"))
+    rare = seen.where(F.col("__kind") == WORD).select("__id", F.col("__word").alias("word"), "__n").join(words, "word")
+    more = F.log10((F.col("n") + 1) / F.lit(float(total + distinct + 1))) - math.log10(1 / (total + distinct + 1))
+    known = rare.groupBy("__id").agg(F.sum("__n").alias("__known"), F.sum(F.col("__n") * more).alias("__base"))
+    own = seen.where(F.col("__kind") == DOCS).join(runs_, "__id", "left").join(known, "__id", "left")
+    plus = lambda c, d: (F.col(c) + F.coalesce(F.col(d), F.lit(0))).alias(c[2:])
+    out = own.select(key, *extra, F.col("__n").alias("n_tokens"), plus("__n_known", "__known"), F.lit(total).cast("long").alias("train_tokens"), plus("__base_score", "__base"), plus("__score_sum", "__score").alias("score"))
+    out = save(out, "ppm_scores")
+    discard(counts, seen)
+    return out
+
+
+OWN = (("__kind", ByteType()), ("__id", LongType()), ("__code", LongType()), ("__word", BinaryType()), ("__n", LongType()), ("__n_known", LongType()), ("__base_score", DoubleType()), ("__score_sum", DoubleType()))
 
 
 def _pass(df: DataFrame, sent) -> DataFrame:
+    """Of each row (text last) one of kind DOCS: its other columns, a number of its own, and the sums of what is sent; of kind RUN and WORD what is not, counted by row."""
+    rest = df.schema.fields[:-1]
+    schema = StructType([*(StructField(f.name, f.dataType) for f in rest), *(StructField(c, t) for c, t in OWN)])
+
+    def made(fields, others, n, **own):
+        cols = [*(others or [pa.nulls(n, t) for t in fields])]
+        for c, t in zip((c for c, _ in OWN), (pa.int8(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())):
+            cols.append(pa.array(own[c], t) if c in own else pa.nulls(n, t))
+        return pa.RecordBatch.from_arrays(cols, names=schema.names)
+
     def run(batches):
-        load, pairs, vocab, total, distinct, n_docs, word_blocks, i = sent.value
-        trie = Trie(*load[:2], pairs) if load else None
+        from pyspark import TaskContext
+
+        keys, values, (known, count), total, distinct, n_docs = sent.value
         unseen = math.log10(1 / (total + distinct + 1))
+        table = np.append(np.log10((count + 1) / (total + distinct + 1)), unseen)
+        index = dict(zip(known, range(len(known))))
+        get, none = index.get, len(known)
+        first = TaskContext.get().partitionId() << 33
         for batch in batches:
-            data, offsets = text_buffer(batch.column(batch.schema.get_field_index("__text")))
-            new = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).copy() for c, _ in SCORES}
-            if trie is not None:
-                for code, own in runs(data, offsets):
-                    if len(code):
-                        u, back = np.unique(code, return_inverse=True)
-                        pair = (u >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64)
-                        mine = (pair >= load[2]) & (pair < load[3])
-                        bits = np.zeros(len(u))
-                        bits[mine] = trie.log10(u[mine])
-                        new["score"] += np.bincount(own, bits[back], len(offsets) - 1)
-            if vocab is not None:
-                h, at = hash_words(data, offsets)
-                own = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                if word_blocks > 1:
-                    mine = np.mod(h.view(np.int64), word_blocks) == i
-                    h, own = h[mine], own[mine]
-                u, back = np.unique(h, return_inverse=True)
-                where, known = _find(vocab[0], u)
-                value = np.where(known, np.log10((np.where(known, vocab[1][where] if len(vocab[1]) else 0, 0) + 1) / (total + distinct + 1)), unseen)
-                n = len(at) - 1
-                new["base_score"] += np.bincount(own, value[back], n)
-                new["n_tokens"] += np.bincount(own, minlength=n)
-                new["n_known"] += np.bincount(own, known[back], n).astype(np.int64)
-            if i == 0:
-                new["n_tokens"] += 1
-                new["n_known"] += n_docs > 0
-                new["base_score"] += math.log10((n_docs + 1) / (total + distinct + 1))
-            for c, _ in SCORES:
-                at = batch.schema.get_field_index(c)
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(new[c], batch.schema.field(at).type))
-            yield batch
-
-    return df.mapInArrow(run, df.schema)
+            n, fields = batch.num_rows, [c.type for c in batch.columns[:-1]]
+            ids = np.arange(first, first + n)
+            first += n
+            data, offsets = text_buffer(batch.column(batch.num_columns - 1))
+            score = np.zeros(n)
+            for code, own in runs(data, offsets):
+                if len(code):
+                    u, back = np.unique(code, return_inverse=True)
+                    at, hit = _find(keys, u)
+                    score += np.bincount(own, np.where(hit, values[at] if len(values) else 0.0, 0.0)[back], n)
+                    left = np.flatnonzero(~hit[back])
+                    if len(left):
+                        order = np.lexsort((back[left], own[left]))
+                        doc, place = own[left][order], back[left][order]
+                        cut = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1]))))
+                        yield made(fields, None, len(cut), __kind=np.full(len(cut), RUN, np.int8), __id=ids[doc[cut]], __code=u[place[cut]].view(np.int64), __n=np.diff(np.append(cut, len(doc))))
+            tokens, seen, base = np.ones(n, np.int64), np.full(n, int(n_docs > 0)), np.full(n, math.log10((n_docs + 1) / (total + distinct + 1)))
+            rare, rare_ids, rare_n, held = [], [], [], 0
+            for d, t in enumerate(_texts(batch.column(batch.num_columns - 1))):
+                for words in words_of(t):
+                    own = np.fromiter((get(w, none) for w in words), np.int64, len(words))
+                    tokens[d] += len(words)
+                    base[d] += table[own].sum()
+                    miss = np.flatnonzero(own == none)
+                    seen[d] += len(words) - len(miss)
+                    for w, c in Counter(words[i] for i in miss.tolist()).items():
+                        if (i := index.get(k := word_key(w))) is not None:  # a long word that was sent under its short key
+                            seen[d] += c
+                            base[d] += c * (table[i] - unseen)
+                        else:
+                            rare.append(k), rare_n.append(c), rare_ids.append(int(ids[d]))
+                held = len(rare)
+                if held > 1 << 16:
+                    yield made(fields, None, held, __kind=np.full(held, WORD, np.int8), __id=rare_ids, __word=rare, __n=rare_n)
+                    rare, rare_ids, rare_n, held = [], [], [], 0
+            if held:
+                yield made(fields, None, held, __kind=np.full(held, WORD, np.int8), __id=rare_ids, __word=rare, __n=rare_n)
+            yield made(fields, batch.columns[:-1], n, __kind=np.full(n, DOCS, np.int8), __id=ids, __n=tokens, __n_known=seen, __base_score=base, __score_sum=score)
+        del keys, values, known, index, get, table
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def _block_values(codes: DataFrame, grams: DataFrame, pairs: np.ndarray, block_of: list[int], pair) -> DataFrame:
+    """__code, __value: log10 of each run's probability, by the trie of its block."""
+    spark = codes.sparkSession
+    blocks = lambda own: F.broadcast(spark.createDataFrame(list(enumerate(block_of)), f"pair int, {own} int"))  # 65,536 rows
+    asked, model = (df.withColumn("pair", pair(c)).join(blocks(own), "pair").drop("pair") for df, c, own in ((codes, "__code", "__block"), (grams, "key", "block")))
+
+    def run(_, own: pa.Table, counts: pa.Table) -> pa.Table:
+        column = lambda t, c: t.column(c).to_numpy()
+        code = column(own, "__code")
+        value = Trie(column(counts, "key").view(np.uint64), column(counts, "n"), pairs).log10(code.view(np.uint64)) if len(code) else np.zeros(0)
+        out = pa.table({"__code": code, "__value": value})
+        release()
+        return out
+
+    return asked.groupBy("__block").cogroup(model.groupBy("block")).applyInArrow(run, "__code long, __value double")
 
 
 def score_split(docs: DataFrame, key: str = "doc_id", parts: int = 7, held: int = 2) -> DataFrame:

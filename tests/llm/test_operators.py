@@ -13,6 +13,8 @@ from lumenquarry.llm import bpe, chat, common, decontaminate, langid, ngram_join
 from lumenquarry.llm.queries import tokenizer
 
 ODD = ["", "a", " ", "  x  y ", "\n\n a\n", "don't <|endoftext|> x<|endoftext|>", "a" * 700, "日本語テキスト " * 30, "😀👍🏽 é ́", "1234567890 " * 30, "x" * 9999 + " " * 500 + "y", " " * 3000, "İstanbul ß ſ\x1c\x85q"]
+THUE = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+THUE = (THUE, THUE.translate({97: 98, 98: 97}))  # words whose sums of values times powers modulo 2**64 are equal, whatever the multiplier
 
 
 def docs(spark, texts, first=0):
@@ -50,7 +52,7 @@ def test_transducer_keeps_a_bounded_window():
 
 
 def test_ppm_matches_brute_force(spark):
-    texts = ["hello hello world", "a b a b", None, "", "zzz é zzz\tq", "hello there 日本", "HELLO hello", *("abc abd " * i for i in range(1, 12))]
+    texts = ["hello hello world", "a b a b", None, "", "zzz é zzz\tq", "hello there 日本", "HELLO hello", "long " + "Q" * 90 + " x", "more " + "q" * 90, "q" * 91, THUE[0], THUE[1], *("abc abd " * i for i in range(1, 12))]
     rows = docs(spark, texts)
     counts = collections.defaultdict(collections.Counter)
 
@@ -66,28 +68,41 @@ def test_ppm_matches_brute_force(spark):
                 for k in range(5):
                     counts[past[4 - k :]][s] += 1
 
+    def brute_step(past, s):
+        total, out = 0.0, set()
+        for k in range(4, -1, -1):
+            own = counts.get(past[4 - k :])
+            if not own:
+                continue
+            n, d = sum(c for x, c in own.items() if x not in out), sum(x not in out for x in own)
+            if s in own:
+                return total + math.log10(own[s] / (n + d))
+            if d:
+                total += math.log10(d / (n + d))
+            out |= own.keys()
+        return total - math.log10(256 - len(out))
+
     def brute(t):
+        return sum(brute_step(past, s) for past, s in steps(t))
+
+    train = [w for i, t in enumerate(texts) if i % 3 != 2 for w in [*(t or "").lower().split(), None]]
+    known, size = collections.Counter(train), len(train)
+    for block, held in ((500_000, (1 << 21, 300_000)), (5, (0, 0)), (5, (40, 3))):
+        got = {r.doc_id: r for r in ppm.score(rows, rows.where("doc_id % 3 != 2"), block=block, held=held).collect()}
+        for i, t in enumerate(texts):
+            words = [*(t or "").lower().split(), None]
+            base = sum(math.log10((known[w] + 1) / (size + len(known) + 1)) for w in words)
+            assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(words), sum(known[w] > 0 for w in words), size)
+            assert got[i].base_score == pytest.approx(base, abs=1e-9) and got[i].score == pytest.approx(brute(t), abs=1e-9)
+    for bits, i in ((ppm.adaptive_bits(texts[4]), 4), (ppm.adaptive_bits(None), 2)):
+        counts.clear()
         total = 0.0
-        for past, s in steps(t):
-            out = set()
-            for k in range(4, -1, -1):
-                own = counts.get(past[4 - k :])
-                if not own:
-                    continue
-                n, d = sum(c for x, c in own.items() if x not in out), sum(x not in out for x in own)
-                if s in own:
-                    total += math.log10(own[s] / (n + d))
-                    break
-                if d:
-                    total += math.log10(d / (n + d))
-                out |= own.keys()
-            else:
-                total -= math.log10(256 - len(out))
-        return total
-
-    for block in (4_000_000, 5):
-        got = {r.doc_id: r.score for r in ppm.score(rows, rows.where("doc_id % 3 != 2"), block=block).collect()}
-        assert all(got[i] == pytest.approx(brute(t), abs=1e-9) for i, t in enumerate(texts))
+        for past, s in steps(texts[i]):
+            one = brute_step(past, s)
+            total -= one * math.log2(10)
+            for k in range(5):
+                counts[past[4 - k :]][s] += 1
+        assert bits == pytest.approx(total, abs=1e-9)
     assert ppm.adaptive_bits("ab" * 200) < 8 * 100
 
 
@@ -207,7 +222,32 @@ def test_words_longer_than_windows():
     assert all(len(up) <= 2 * common.WINDOW for up, _ in common._tables.values())
     texts = pa.array(["a b\nc", long.decode(), long.decode() + " tail", None])
     assert np.isfinite(quality.statistics(texts)).all()
-    assert [len(x) for x in ngram_join._sets(texts, 5)] == [1, 1, 1, 0]
+    assert [len(x) for x in ngram_join._sets(texts, 5, common.Digests())] == [1, 1, 1, 0]
+    one = b"a b\tc  d" + b"Q" * 3000 + b" e "
+    assert [w for part in common.words_of(one, 3) for w in part] == one.lower().split() and list(common.words_of(b"")) == []
+
+
+def test_words_are_compared_exactly(spark):
+    data = np.frombuffer(" ".join(THUE).encode(), np.uint8)
+    first, second = common.hash_words(data, np.array([0, len(data)]))[0]
+    assert first == second  # statistics may take them for one
+    got = {r.doc_id: r.component_id for r in ngram_join.groups(docs(spark, THUE)).collect()}
+    assert got == {0: 0, 1: 1}
+    words = "a b c d e f g h a b c d e".split()
+    for x, y in (("one", "two"), ("one", "one"), ("a b", "a b c d e f"), (" ".join(words), " ".join(words[2:])), (" ".join(f"w{i}" for i in range(9000)), " ".join(f"w{i * 3 % 9001}" for i in range(9000)))):
+        x, y = x.encode().split(), y.encode().split()
+        a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (x, y))
+        assert ngram_join.shared_runs(x, y, 5) == (len(a & b), len(a), len(b))
+
+
+def test_names_that_meet_are_given_anew(spark, monkeypatch):
+    """Two sets of one name: the naming starts again with another salt; and wanted rows beyond the broadcast's bound are joined."""
+    name = ngram_join.name_of
+    monkeypatch.setattr(ngram_join, "name_of", lambda own, salt=0: (7 if salt == 0 else name(own, salt)[0], name(own)[1]))
+    monkeypatch.setattr(ngram_join, "IN_PLAN", 0)
+    base = " ".join(f"w{i}" for i in range(60))
+    got = {r.doc_id: r.component_id for r in ngram_join.groups(docs(spark, [base, "other words here", base + " more", None])).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 3}
 
 
 def test_decontamination(spark):
