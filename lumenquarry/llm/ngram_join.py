@@ -1,7 +1,9 @@
 """Exact n-gram Jaccard join: rare-first prefixes, length, positional and suffix filters, one verification a pair (operator 2).
 
-A text's set: the 64-bit hashes of its distinct runs of `n` words. Texts of the same set are one node (named by 64 bits
-of a digest of the set); copies are never paired. Two nodes link when 100 * |intersection| >= percent * |union|.
+A text's set: its distinct runs of `n` words, each named by 64 bits made of digests of its words. Texts of the same set are one
+node, named by 64 bits of a digest of the set; two sets of one name (128 bits tell them apart) start the naming again with
+another salt. Copies are never paired. Two nodes link when 100 * |intersection| >= percent * |union|, which is decided on the
+words themselves, not on their digests.
 
 1. *Order.* Blocks of sets hand on the runs that OFTEN or more of their sets hold; the counts are added up, and the most
    frequent (HEAVY at most) are sent to all tasks. Every set is put in order of (count, hash): runs that many texts share come
@@ -13,9 +15,12 @@ of a digest of the set); copies are never paired. Two nodes link when 100 * |int
    smaller sides bounds the intersection), then through the same filter with about one cell for two runs; of what is left
    both texts are read and compared exactly.
 4. *Components* of the links found (large star, small star). Large buckets whose nodes lie in one component are done: any link
-   inside adds nothing. Of the others, the pairs between different components go through the filters inside the bucket, but for
-   pairs that an earlier run is known to bring together (each entry holds the SEEN runs of its node before it), and then step 3, so no link between different components is lost while groups of near copies aren't paired all with all.
-   This is what groups() does, which needs components only. join() returns every link: it has no stars, and in step 4 each
+   inside adds nothing. The others hand on stars again, from the largest component of a length class to the nodes of all others,
+   with other centres, as long as that finds many links: groups of near copies become one component in a few linear passes.
+5. Of the buckets that still hold several components, the pairs between these go through all filters inside the bucket, but for
+   pairs that an earlier run is known to bring together (each entry holds the SEEN runs of its node before it), and then step 3,
+   so no link between different components is lost while groups of near copies aren't paired all with all.
+   This is what groups() does, which needs components only. join() returns every link: it has no stars, and in step 5 each
    node counts as its own component. A large bucket is cut into parts of about PART nodes; every two parts meet in one cell.
 
 Null, empty and blank texts have an empty set, link with nothing, and are their own component. Rows with equal ids are
@@ -32,27 +37,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import discard, hash_shingles, hash_words, save, text_buffer
+from .common import Digests, digests, discard, hash_shingles, release, save, words_of
 
 SMALL, PIVOTS, STARS, SEEN = 3, 64, 3, 16
 BLOCK, OFTEN, HEAVY = 1 << 23, 3, 1 << 22  # runs counted at a time; sets of a block that make a run frequent; runs (12 bytes each) sent to all tasks
 STAR_CLASS = 1.25
+GAIN = 0.05  # share of the links known so far that a further pass of stars has to bring for another one
 PART = 4096  # nodes of a bucket that meet in one cell
 OPEN_ROWS = 50_000  # a bucket with more goes on in parts, only its centre held
-IN_PLAN = 3_000_000  # node numbers (8 bytes each) that may be sent to all tasks; more are joined
+IN_PLAN = 3_000_000  # numbers (8 bytes each) of the rows to read that may be sent to all tasks; more are joined
 
 
-def _sets(column: pa.Array, n: int):
+def _texts(column: pa.Array):
+    """The UTF-8 bytes of each text, a few at a time; null counts as empty."""
+    for at in range(0, len(column), 256):
+        for text in column.slice(at, 256).cast(pa.large_binary()):
+            yield text.as_py() or b""
+
+
+def _sets(column: pa.Array, n: int, memo: Digests):
     """The sorted distinct runs of each text, in order of the texts."""
-    for at in range(0, len(column), 512):
-        data, offsets = text_buffer(column.slice(at, 512))
-        hashes, ends = hash_shingles(*hash_words(data, offsets), n)
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-            yield np.unique(hashes[a:b])
+    for text in _texts(column):
+        words = digests(text, memo)
+        yield np.unique(hash_shingles(words, np.array([0, len(words)]), n)[0])
 
 
-def node_of(own: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+def name_of(own: np.ndarray, salt: int = 0) -> tuple[int, bytes]:
+    """A set's name, and 128 bits that tell two sets of one name apart."""
+    digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+    return int.from_bytes(hashlib.blake2b(digest, digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little", signed=True), digest
 
 
 def heavy_runs(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,10 +77,10 @@ def heavy_runs(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarr
         return pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), pa.array(count, pa.int64())], names=["run", "n"])
 
     def run(batches):
-        held, rows, seen = [], 0, set()
+        held, rows, seen, memo = [], 0, set(), Digests()
         for batch in batches:
-            for own in _sets(batch.column(0), n):
-                if len(own) and (node := node_of(own)) not in seen:
+            for own in _sets(batch.column(0), n, memo):
+                if len(own) and (node := name_of(own)[0]) not in seen:
                     if len(seen) < 1 << 20:
                         seen.add(node)
                     held.append(own)
@@ -77,6 +90,8 @@ def heavy_runs(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarr
                         held, rows = [], 0
         if held:
             yield often(held)
+        del held, seen, memo
+        release()
 
     counted = save(docs.select(text).mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")), "join_heavy")
     levels = dict(counted.groupBy(F.floor(F.log2("n")).alias("level")).count().collect())  # 64 rows at most
@@ -105,35 +120,46 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-size * percent // 100) + 1
 
 
-def prefixes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """Per row: key, node (null: empty set), size, prefix (hashes in order), spread and fine (sizes between pivots)."""
+def prefixes(docs: DataFrame, key: str, text: str, n: int, percent: int, salt: int = 0) -> DataFrame:
+    """Per row: key, at (a hash of it), node (null: empty set), digest of the set, size, prefix (hashes in order), spread and fine (sizes between pivots)."""
     spark = docs.sparkSession
     heavy = spark.sparkContext.broadcast(heavy_runs(docs, text, n))
-    schema = StructType([docs.schema[key], StructField("node", LongType()), StructField("size", LongType()), StructField("prefix", BinaryType()), StructField("spread", BinaryType()), StructField("fine", BinaryType())])
+    schema = StructType([docs.schema[key], StructField("at", LongType()), StructField("node", LongType()), StructField("digest", BinaryType()), StructField("size", LongType()), StructField("prefix", BinaryType()), StructField("spread", BinaryType()), StructField("fine", BinaryType())])
 
     def run(batches):
         runs, counts = heavy.value
+        memo = Digests()
         for batch in batches:
-            nodes, sizes, firsts, spreads, fines = [], [], [], [], []
-            for own in _sets(batch.column(1), n):
-                sizes.append(len(own))
+            rows = []
+            for own in _sets(batch.column(2), n, memo):
                 if not len(own):
-                    nodes.append(None), firsts.append(None), spreads.append(None), fines.append(None)
+                    rows.append((None, None, 0, None, None, None))
                     continue
                 count = counts_of(own, runs, counts)
                 length = prefix_length(len(own), percent)
                 light = own[count == 0]
-                if len(light) >= length:
-                    first = light[:length]
-                else:
-                    first = own[np.lexsort((own, count))[:length]]
-                nodes.append(node_of(own))
-                firsts.append(first.tobytes())
-                spreads.append(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=PIVOTS).astype("<u4").tobytes())
-                fines.append(fine_spread(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.binary()), pa.array(spreads, pa.binary()), pa.array(fines, pa.binary())], names=schema.names)
+                first = light[:length] if len(light) >= length else own[np.lexsort((own, count))[:length]]
+                spread = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=PIVOTS).astype("<u4").tobytes()
+                rows.append((*name_of(own, salt), len(own), first.tobytes(), spread, fine_spread(own)))
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, kinds))], names=schema.names)
+        del memo
+        release()
+
+    return docs.select(F.col(key), F.xxhash64(key), F.col(text)).mapInArrow(run, schema)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+
+def named_sets(docs: DataFrame, key: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of prefixes(), and a row for each node; no two sets have one name."""
+    salt = 0
+    while True:
+        rows = save(prefixes(docs, key, text, n, percent, salt), "join_sets")
+        one = rows.where("node is not null").groupBy("node").agg(F.min_by(F.struct("at", "size", "prefix", "spread", "fine"), "at").alias("s"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+        nodes = save(one.select("node", "s.*", F.col("lo").alias("digest"), (F.col("lo") != F.col("hi")).alias("clash")), "join_nodes")
+        if nodes.where("clash").isEmpty():
+            return rows, nodes
+        discard(rows, nodes)
+        salt += 1
 
 
 def _entries(nodes: DataFrame) -> DataFrame:
@@ -279,7 +305,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         held = None
         for batch in batches:
-            cols = [*(c.to_numpy() for c in batch.columns[:7]), _spreads(batch.column(7)), _befores(batch.column(8))]
+            cols = [*(c.to_numpy() for c in batch.columns[:7]), _spreads(batch.column(7)), _befores(batch.column(8)), _objects(batch.column(9))]
             if held is not None:
                 cols = [np.concatenate((h, c)) for h, c in zip(held, cols)]
             if not len(cols[0]):
@@ -294,7 +320,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     met = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     cells = met.withColumn("cell", F.shiftleft(F.least("part", "other"), 31) + F.greatest("part", "other"))
     ordered = cells.repartition("run", "cell").sortWithinPartitions("run", "cell", "size", "node")
-    return ordered.select("run", "cell", "node", "size", "place", "component", "part", "spread", "before").mapInArrow(run, "a long, b long")
+    return ordered.select("run", "cell", "node", "size", "place", "component", "part", "spread", "before", "fine").mapInArrow(run, "a long, b long")
 
 
 def _heads(cols) -> np.ndarray:
@@ -309,7 +335,7 @@ def _cross(cols, percent: int):
     first = _heads(cols)
     found: list[np.ndarray] = []
     for s, e in zip(first, np.append(first[1:], len(cols[0]))):
-        _, cell, node, size, place, component, part, spread, before = (c[s:e] for c in cols)
+        _, cell, node, size, place, component, part, spread, before, fine = (c[s:e] for c in cols)
         if (component == component[0]).all():
             continue
         one_part = cell[0] >> 31 == cell[0] & (1 << 31) - 1
@@ -322,6 +348,8 @@ def _cross(cols, percent: int):
             mine = before[i][before[i] != 0]
             if len(mine) and len(at):
                 at = at[~(before[at][:, :, None] == mine).any((1, 2))]
+            if len(at):
+                at = at[[_can_share_fine(fine[j], fine[i], percent) for j in at]]
             if len(at):
                 other = node[at]
                 found.append(np.stack([np.minimum(other, node[i]), np.maximum(other, node[i])], 1))
@@ -341,6 +369,12 @@ def _spreads(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, PIVOTS)
 
 
+def _objects(column: pa.Array) -> np.ndarray:
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist()
+    return out
+
+
 def _befores(column: pa.Array) -> np.ndarray:
     """Lists of up to SEEN runs as rows of a matrix, filled up with 0."""
     count = np.diff(column.offsets.to_numpy())
@@ -377,6 +411,16 @@ def fine_spread(own: np.ndarray) -> bytes | None:
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
 
+def _can_share_fine(x: bytes | None, y: bytes | None, percent: int) -> bool:
+    if x is None or y is None:
+        return True
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(x) != len(y):
+        n = min(len(x), len(y))
+        x, y = (v.reshape(n, -1).sum(1, dtype=np.int64) for v in (x, y))
+    return (100 + percent) * int(np.minimum(x, y).sum(dtype=np.int64)) >= percent * int(x.sum(dtype=np.int64) + y.sum(dtype=np.int64))
+
+
 def _fine_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("fine").alias(f"f{c}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "fa", "fb")
@@ -385,41 +429,54 @@ def _fine_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if x is None or y is None:
-                    keep.append(True)
-                    continue
-                x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
-                n = min(len(x), len(y))
-                x, y = (v.reshape(n, -1).sum(1) for v in (x, y))
-                keep.append((100 + percent) * int(np.minimum(x, y).sum()) >= percent * int(x.sum() + y.sum()))
+                keep.append(_can_share_fine(x, y, percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
+def shared_runs(x: list[bytes], y: list[bytes], n: int) -> tuple[int, int, int]:
+    """Distinct runs of n words in both, in x and in y; words are numbered by what they are, runs of numbers packed and numbered again where 63 bits run out."""
+    number: dict[bytes, int] = {}
+    for words in (x, y):
+        for w in words:
+            number.setdefault(w, len(number))
+    if min(len(x), len(y)) < n:  # a shorter text is one run of its own length
+        whole = [1 if len(w) < n else len({tuple(w[i : i + n]) for i in range(len(w) - n + 1)}) for w in (x, y)]
+        return int(x == y), *whole
+    bits = max(1, (len(number) - 1).bit_length())
+    ids = [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in (x, y)]
+    cut = len(x) - n + 1
+    code, width = np.concatenate([v[: len(v) - n + 1] for v in ids]), bits
+    for k in range(1, n):
+        if width + bits > 63:
+            _, code = np.unique(code, return_inverse=True)
+            width = max(1, len(code).bit_length())
+        code = code << bits | np.concatenate([v[k : len(v) - n + 1 + k] for v in ids])
+        width += bits
+    a, b = np.unique(code[:cut]), np.unique(code[cut:])
+    return len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)
+
+
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
     """The linked ones of pairs (a, b): the texts of those that pass the fine filter are read and compared once."""
-    spark = docs.sparkSession
     pairs = save(_fine_filter(pairs, nodes, percent), "join_pairs")
-    wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "join_wanted")
-    sent = None
+    wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "at", "digest"), "node"), "join_wanted")
+    at = wanted.select("at").distinct()
     if wanted.count() <= IN_PLAN:
-        sent = spark.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).to_numpy()))
+        at = F.broadcast(at)  # IN_PLAN numbers at most
 
     def texts(batches):
+        memo = Digests()
         for batch in batches:
-            nodes = np.array([node_of(own) if len(own) else 0 for own in _sets(batch.column(0), n)], np.int64)
-            if sent is not None:
-                all_, at = sent.value, 0
-                at = np.minimum(np.searchsorted(all_, nodes), max(0, len(all_) - 1))
-                keep = all_[at] == nodes if len(all_) else np.zeros(len(nodes), bool)
-                batch, nodes = batch.filter(pa.array(keep)), nodes[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0).cast(pa.string())], names=["node", "text"])
-
-    found = docs.select(text).mapInArrow(texts, "node long, text string")
-    if sent is None:
-        found = found.join(wanted, "node", "left_semi")
-    own = save(found.groupBy("node").agg(F.first("text").alias("text")), "join_texts")
+            found = [hashlib.blake2b(own.tobytes(), digest_size=16).digest() for own in _sets(batch.column(0), n, memo)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(0).cast(pa.string())], names=["digest", "text"])
+        del memo
+        release()
+
+    read = docs.select(F.xxhash64(key).alias("at"), F.col(text)).join(at, "at", "left_semi").select(text)
+    found = read.mapInArrow(texts, "digest binary, text string")
+    own = save(found.join(wanted, "digest").groupBy("node").agg(F.min("text").alias("text")), "join_texts")
     side = lambda c: own.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "ta", "b", "tb")
 
@@ -427,11 +484,11 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, n: i
         last, x = None, None
         for batch in batches:
             keep = []
-            for a, ta, b, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), _sets(batch.column(3), n)):
+            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(3)):
                 if a != last:
-                    last, x = a, next(_sets(pa.array([ta.as_py()]), n))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                    last, x = a, _words(ta)
+                both, n_x, n_y = shared_runs(x, _words(tb), n)
+                keep.append(100 * both >= percent * (n_x + n_y - both))
             yield batch.select([0, 2]).filter(pa.array(keep, pa.bool_()))
 
     out = save(joined.mapInArrow(compare, "a long, b long"), "join_links")
@@ -439,6 +496,10 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, n: i
     return out
 
 
+def _words(text: pa.Scalar) -> list[bytes]:
+    return [w for part in words_of(text.as_py().encode()) for w in part]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its smallest node) for all nodes of the edges: large star and small star, until nothing changes."""
     own = save(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "components")
@@ -459,32 +520,61 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return own.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(own.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _stars(named: DataFrame, turn: int) -> DataFrame:
+    """a, b (a < b): in every bucket and length class a node of the component that holds most of it, with each node of all others; of each node its STARS best."""
+    cls = F.floor(F.log("size") / F.log(F.lit(STAR_CLASS)))
+    classed = named.withColumn("cls", cls)
+    each = classed.groupBy("run", "cls", "component").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("centre"))
+    most = each.groupBy("run", "cls").agg(F.max(F.struct("n", F.col("component").alias("most"), "centre")).alias("m"), F.count("*").alias("kinds")).where("kinds > 1").select("run", "cls", "m.most", "m.centre")
+    met = classed.join(most, ["run", "cls"]).where("component != most").groupBy("centre", "node").agg(F.count("*").alias("n"))
+    best = Window.partitionBy("node").orderBy(F.desc("n"), "centre")
+    kept = met.withColumn("k", F.row_number().over(best)).where(F.col("k") <= STARS)
+    return kept.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, every: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows (key, node, size), links (a, b: verified pairs of nodes) and labels (node, component: a node) of the texts of docs.
 
     The links are all there are between different nodes. Without every: every link between different components of what the stars
     join, and enough of the others to make each component."""
-    rows = save(prefixes(docs, key, text, n, percent), "join_sets")
-    nodes = save(rows.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("spread").alias("spread"), F.first("fine").alias("fine")), "join_nodes")
+    rows, nodes = named_sets(docs, key, text, n, percent)
     buckets = save(_buckets(_entries(nodes), percent), "join_buckets")
-    first = save(_suffix_filter(_first_pairs(buckets, every), nodes, percent), "join_pairs")
-    links = _verify(first, nodes, docs, text, n, percent)
+    verify = lambda pairs: _verify(pairs, nodes, docs, key, text, n, percent)
+    done = save(_suffix_filter(_first_pairs(buckets, every), nodes, percent), "join_pairs")
+    links = verify(done)
     label = save(components(links), "join_labels")
     members = buckets.where("b is null").select(F.col("a").alias("node"), "run", "size", "place")
-    named = members.withColumn("component", F.col("node")) if every else members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("run", "n")
-    earlier = Window.partitionBy("node").orderBy("place").rowsBetween(-SEEN, -1)
-    apart = named.join(mixed, "run").withColumn("before", F.collect_list("run").over(earlier)).join(nodes.select("node", "spread"), "node")
-    second = save(_across(apart, percent).distinct().join(first, ["a", "b"], "left_anti"), "join_pairs")
-    if second.isEmpty():
-        found = links
-    else:
-        more = _verify(second, nodes, docs, text, n, percent)
-        label, old = save(components(links.unionAll(more)), "join_labels"), label
-        found = links.unionAll(more)
-        discard(old)
-    discard(nodes, buckets, first, second)
-    return rows.select(key, "node", "size"), found, label
+
+    def mixed(members: DataFrame) -> DataFrame:
+        """The entries of the buckets that hold several components, with these, and n: the bucket's nodes."""
+        named = members.withColumn("component", F.col("node")) if every else members.drop("component", "n").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = named.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("run", "n")
+        return save(named.join(several, "run"), "join_mixed")
+
+    open_ = mixed(members)
+    turn, known = 0, links.count()
+    while not every and not open_.isEmpty():
+        turn += 1
+        fresh = save(_suffix_filter(_stars(open_, turn).join(done, ["a", "b"], "left_anti"), nodes, percent), "join_pairs")
+        more = verify(fresh)
+        done, links = done.unionAll(fresh), links.unionAll(more)
+        if not (found := more.count()):
+            break
+        label, old = save(components(links), "join_labels"), label
+        open_, before = mixed(open_), open_
+        discard(old, before)
+        known += found
+        if found < GAIN * known:  # what is left comes cheaper from step 5
+            break
+    if not open_.isEmpty():
+        earlier = Window.partitionBy("node").orderBy("place").rowsBetween(-SEEN, -1)
+        apart = open_.withColumn("before", F.collect_list("run").over(earlier)).join(nodes.select("node", "spread", "fine"), "node")
+        fresh = save(_across(apart, percent).distinct().join(done, ["a", "b"], "left_anti"), "join_pairs")
+        more = verify(fresh)
+        links = links.unionAll(more)
+        label = save(components(links), "join_labels")
+    discard(nodes, buckets, open_)
+    return rows.select(key, "node", "size"), links, label
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
