@@ -14,8 +14,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 CACHED = 900_000
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]+)")
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 def storage(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -46,21 +48,22 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(True) - 1, end_id or 0, *self.tokenizer.get_vocab(True).values()) < 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        assert sys.byteorder == "little"  # as the files are
         self.by_word = drops_space(spec)
-        self.words, self.pieces = _Words(self), {}
+        self.lowers = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", [spec.get("normalizer") or {}]))
+        self.words, self.pieces = _Words(self), _Pieces(self)
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def word(self, word: bytes) -> bytes:
         text = word.decode()
         if m := PLAIN.fullmatch(text):  # letters that have no other form, then marks: two pieces for the splitting pattern
-            for piece in m.groups():
-                if piece not in self.pieces:
-                    if len(self.pieces) >= CACHED // 4:
-                        self.pieces.clear()
-                    self.pieces[piece] = self.ids(piece)
-            return b"".join(self.pieces.get(x) or self.ids(x) for x in m.groups())
+            letters, marks = m.groups()
+            if self.lowers:
+                letters = letters.lower()
+            return self.pieces[letters] + self.pieces[marks] if marks else self.pieces[letters]
         return self.ids(text)
 
     def text(self, text: str) -> bytes:
@@ -82,6 +85,21 @@ class _Words(dict):
         return out
 
 
+class _Pieces(dict):
+    """Letters alone and marks alone, which many words share."""
+
+    def __init__(self, encoder: WordEncoder):
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.encoder.ids(piece)
+        if len(piece) <= 64:
+            if len(self) >= CACHED:
+                self.clear()
+            self[piece] = out
+        return out
+
+
 def drops_space(spec: dict) -> bool:
     """Whether no token can hold or depend on white space: it is normalised to single spaces first, and a split keeps matches of a pattern that takes none."""
     norm = spec.get("normalizer") or {}
