@@ -12,30 +12,35 @@ A unit's end (where the splitting pattern starts a new piece) makes all of it st
 
 *Decoder.* Bytes of ids go through an incremental UTF-8 state machine, so characters cut by chunks come out whole.
 
-Null texts count as empty; an empty text has no ids. Texts of any length are streamed in units that end where a single
-space stands between two other characters; a unit without such a place for UNIT characters is streamed itself.
+Null texts count as empty; an empty text has no ids. Every text is fed in portions; of what has come, the part before a single
+space between two other characters is done at once. A unit without such a place is held until it ends, and its long
+pieces go through the transducer in chunks. What the transducer gives for short units is remembered; the memo tables are
+bounded (also within a text), and the tables of a task's texts are dropped when it ends.
 """
 
 from __future__ import annotations
 
 import codecs
+import gc
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import release
+
 #: The splitting pattern of byte-level BPE, and the bytes that stand for themselves in its vocabulary files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = ((33, 126), (161, 172), (174, 255))
 
 UNIT = 1 << 14
 HEAD = 8
-CACHED = 700_000
+CACHED = 600_000
 CHUNK = 1 << 16
 
 
@@ -62,6 +67,8 @@ class _Cache(dict):
 class Vocabulary:
     """A merge list with its ids, ranks, lookahead and memo tables."""
 
+    cached = CACHED
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -75,11 +82,6 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.bytes = {i: b for b, i in self.id.items()} | {i: s.encode() for s, i in self.special.items()}
         self.lookahead = lookahead(self.merges)
-        self.ends: dict[bytes, int] = {}  # every suffix of a token; its own id, or -1
-        for token in self.id:
-            for i in range(len(token)):
-                self.ends.setdefault(token[i:], -1)
-        self.ends |= self.id
         made = {u + v: (r, u, v) for (u, v), r in reversed(self.rank.items())}
         self.right_spine, self.left_spine = (_Cache(lambda t, side=side: self._spine(made, t, side)) for side in (2, 1))
         self.alone = _Cache(lambda t: self.merged(self.bytes[t]) == [self.bytes[t]])
@@ -91,6 +93,11 @@ class Vocabulary:
         self.splits = regex.compile(PATTERN)
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
+    @cached_property
+    def ends(self) -> dict[bytes, int]:
+        """Every suffix of a token: its own id, or -1. Only long pieces need it."""
+        return {token[i:]: -1 for token in self.id for i in range(len(token))} | self.id
+
     def merged(self, text: bytes) -> list[bytes]:
         """Merges by rank, leftmost first: the definition, used on single tokens only."""
         parts = [text[i : i + 1] for i in range(len(text))]
@@ -163,9 +170,15 @@ class Vocabulary:
         found = self.splits.findall(unit)
         return self.pieces[found[0]] if len(found) == 1 else tuple(chain.from_iterable(map(self.pieces.__getitem__, found)))
 
+    def forget(self) -> None:
+        """Drops what was remembered of texts; what concerns pairs of tokens stays."""
+        for cache in (self.units, self.loose, self.heads, self.first, self.pieces):
+            cache.clear()
+
     def trim(self) -> None:
-        """Keeps the memo tables bounded; they hold no state."""
-        for cache, most in ((self.units, CACHED), (self.loose, CACHED // 8), (self.heads, CACHED // 4), (self.first, CACHED // 8), (self.pieces, CACHED // 4), (self.pair, CACHED)):
+        """Keeps the memo tables bounded (`cached` units, of others less); they hold no state."""
+        n = self.cached
+        for cache, most in ((self.units, n), (self.loose, n // 8), (self.heads, n // 4), (self.first, n // 8), (self.pieces, n // 4), (self.pair, n)):
             if len(cache) > most:
                 cache.clear()
 
@@ -262,15 +275,27 @@ class Encoder:
                 if m.start() < cut < m.end():
                     return []
         ready, self.held = self.held[:cut], self.held[cut:]
-        return encode(self.v, ready)
+        return _whole(self.v, ready)
 
     def finish(self) -> list[int]:
-        out, self.held = encode(self.v, self.held), ""
+        out, self.held = _whole(self.v, self.held), ""
         return out
 
 
 def encode(v: Vocabulary, text: str) -> list[int]:
-    """Ids of a whole text; strings of special tokens get their ids."""
+    """Ids of a text; strings of special tokens get their ids."""
+    e = Encoder(v)
+    if len(text) < 2 * UNIT:
+        e.held = text
+        return e.finish()
+    out: list[int] = []
+    for at in range(0, len(text), 4 * UNIT):
+        out += e.feed(text[at : at + 4 * UNIT])
+    return out + e.finish()
+
+
+def _whole(v: Vocabulary, text: str) -> list[int]:
+    """Ids of a text that ends where a unit does."""
     if v.specials is None or v.specials.search(text) is None:
         return out if isinstance(out := _plain(v, text), list) else list(out)
     out, at = [], 0
@@ -329,15 +354,22 @@ def decode(v: Vocabulary, ids: list[int]) -> str:
     return "".join([*(d.feed(ids[i : i + CHUNK]) for i in range(0, len(ids), CHUNK)), d.finish()])
 
 
-def encode_table(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with the ids (array<int>) of its texts; a column of that name is replaced."""
+def encode_table(df: DataFrame, path: str, text: str = "text", ids: str = "ids", cached: int = CACHED // 4) -> DataFrame:
+    """df with the ids (array<int>) of its texts; a column of that name is replaced. cached: units that a task remembers; fewer take less memory, more time."""
 
     def run(batches):
         v = vocabulary(path)
+        v.cached = cached
         for batch in batches:
-            col = pa.array((encode(v, t.as_py() or "") for t in batch.column(text)), pa.list_(pa.int32()))
             keep = [c for c in batch.schema.names if c != ids]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), col], names=[*keep, ids])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                col = pa.array((encode(v, t.as_py() or "") for t in part.column(part.schema.get_field_index(text))), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*map(part.column, keep), col], names=[*keep, ids])
+        del v
+        vocabulary.cache_clear()  # the worker goes on with other operators
+        gc.collect()
+        release()
 
     rest = df.drop(ids)
     from pyspark.sql.types import ArrayType, IntegerType, StructType
@@ -358,6 +390,7 @@ def round_trip(df: DataFrame, path: str, derive: Callable[[list[int], str], tupl
 
     def run(batches):
         v, want = vocabulary(path), to_arrow_schema(out)
+        v.cached = CACHED
         for batch in batches:
             made = []
             for t in batch.column(1):
@@ -365,5 +398,7 @@ def round_trip(df: DataFrame, path: str, derive: Callable[[list[int], str], tupl
                 made.append(derive(ids, decode(v, ids)))
             cols = list(zip(*made)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(want)[1:]))], schema=want)
+        v.forget()
+        release()
 
     return rows.mapInArrow(run, out)

@@ -77,6 +77,14 @@ def release() -> None:
         pass
 
 
+def shielded(df: DataFrame, use) -> DataFrame:
+    """use(df, name) on columns u0, u1, ..., which clash with nothing that an operator adds; name: df's columns to these. What use returns
+    begins with the same columns, which get their own names back; others keep theirs."""
+    own = [f"u{i}" for i in range(len(df.columns))]
+    out = use(df.toDF(*own), dict(zip(df.columns, own)))
+    return out.toDF(*df.columns, *out.columns[len(own) :])
+
+
 def held_out(column: str, parts: int):
     """The fold of a row: crc32 of the id as text, modulo parts."""
     return F.crc32(F.col(column).cast("string")) % parts

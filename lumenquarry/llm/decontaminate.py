@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
+from .common import release, shielded
+
 BLOCK_WORDS = 500_000
 
 #: Bytes of words (digits, letters, all beyond ASCII) for themselves, A-Z as a-z, all others as a space.
@@ -182,6 +184,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, list[bytes]]], window: int, te
                 rows.append({"n_words": len(words), "spans": spans, "items": sorted(names)})
             at = batch.schema.get_field_index("__match")
             yield batch.set_column(at, batch.schema.field(at), pa.array(rows, batch.schema.field(at).type))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -192,8 +195,7 @@ _built: dict[tuple[int, int], Automaton] = {}
 def _automaton(sent, window: int) -> Automaton:
     key = (sent._id if hasattr(sent, "_id") else id(sent.value), window)
     if key not in _built:
-        if len(_built) >= 4:
-            _built.clear()
+        _built.clear()
         _built[key] = Automaton([x for x in sent.value if x[1]], window)
     return _built[key]
 
@@ -226,8 +228,12 @@ def cut_spans(text: str | None, spans: list[list[int]]) -> str | None:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, least_span: int = 10, most_coverage: float = 0.5) -> DataFrame:
     """docs (its columns) without what the benchmark holds: spans of least_span words or more, or of whole shorter items, leave the text;
     documents of which more than most_coverage of the words are hit leave altogether."""
+    return shielded(docs, lambda own, name: _cut(own, benchmark, window, least_span, most_coverage, name["text"]))
+
+
+def _cut(docs: DataFrame, benchmark: DataFrame, window: int, least_span: int, most_coverage: float, text: str) -> DataFrame:
     names = docs.columns
-    m = find_matches(docs, benchmark, window)
+    m = find_matches(docs, benchmark, window, text)
     hit = F.aggregate(F.col("__match.spans"), F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
     m = m.where(~(hit > F.lit(most_coverage) * F.col("__match.n_words")))
     schema = StructType([f for f in m.schema.fields if f.name != "__match"])
@@ -235,10 +241,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, least
     def run(batches):
         for batch in batches:
             spans = batch.column(batch.schema.get_field_index("__match")).field("spans").to_pylist()
-            texts = [cut_spans(t, [s for s in own if s[1] - s[0] >= least_span or s[1] - s[0] < window]) if own else t for t, own in zip(batch.column("text").to_pylist(), spans)]
-            at = batch.schema.get_field_index("text")
+            texts = [cut_spans(t, [s for s in own if s[1] - s[0] >= least_span or s[1] - s[0] < window]) if own else t for t, own in zip(batch.column(text).to_pylist(), spans)]
+            at = batch.schema.get_field_index(text)
             new = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield new.select(schema.names)
+        release()
 
     return m.mapInArrow(run, schema).select(names)
 

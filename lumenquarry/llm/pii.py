@@ -26,7 +26,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, save
+from .common import discard, save, shielded
 
 IN_PLAN, ROUNDS = 5_000, 40
 CODE_KEPT = 20  # draws of a phone number that keep its country code
@@ -282,8 +282,12 @@ def drawn_again(own: DataFrame, drawing: Column) -> DataFrame:
 
 
 def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """docs with surrogates in place of personal data, and __kinds (the kinds of the entities replaced, in order)."""
-    names = [c for c in docs.columns if c != "__kinds"]
+    """docs with surrogates in place of personal data, and __kinds (the kinds of the entities replaced, in order; a column of that name goes)."""
+    return shielded(docs.select(*(c for c in map("`{}`".format, docs.columns) if c != "`__kinds`")), lambda own, name: _replace(own, key, name[text]))
+
+
+def _replace(docs: DataFrame, key: str, text: str) -> DataFrame:
+    names = docs.columns
     new = lambda e: F.concat(e["before"], surrogate(e["kind"], e["found"], key, e["times"]))
     drawing = F.transform(F.col("__e"), lambda match: F.array_join(F.transform(match, new), ""))
     own = save(entities(docs, text), "pii_entities")
