@@ -42,7 +42,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    return vafile.top_k(rows, rows.where(F.col("vec_id") % 50 == 0))
+    return vafile.top_k(rows, rows.where(F.col("vec_id") % 50 == 0)).withColumn("score", F.col("score").try_cast("long"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,29 +12,35 @@ a query, and a window keeps the best k of them (Spark cuts each task's rows to k
 that a task has reached carries over its batches.
 
 Vectors that are null or hold null or non-finite components take no part; vectors of different lengths aren't compared.
-Components are clipped to 31 bits. Rows with a null id take no part. Repeated ids are rows of their own; a
+A component of which 256 * x is beyond a double counts as non-finite. Components are whole numbers held in doubles, without limit; products beyond a
+double's integers are worked out in integers of any length. Scores are decimals of 38 digits (at their ends beyond), which
+cover 58-bit components of 1,024 dimensions. The cells are cut from the vectors of a batch when it is scanned, not read from
+a table of their own. Rows with a null id take no part. Repeated ids are rows of their own; a
 query skips all candidates of its own id.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+from operator import mul
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DecimalType, LongType, StructField, StructType
 
 BLOCK = 2048
-FOUND = StructType([StructField("query_id", LongType()), StructField("vec_id", LongType()), StructField("score", LongType())])
-LIMIT = 2**31 - 1
+FOUND = StructType([StructField("query_id", LongType()), StructField("vec_id", LongType()), StructField("score", DecimalType(38, 0))])
+LIMIT = 10**38 - 1
 
 
 def integers(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """vec_id, v (array<long>): the rows that take part."""
-    x = F.transform(F.col(vector), lambda c: c.cast("double"))
+    """vec_id, v (array<double>, whole numbers): the rows that take part."""
+    x = F.transform(F.col(vector), lambda c: c.cast("double") * 256)
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    clip = lambda c: F.floor(F.least(F.greatest(c * 256, F.lit(float(-LIMIT))), F.lit(float(LIMIT))))
-    return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(key).cast("long").alias("vec_id"), F.transform(x, clip).alias("v"))
+    whole = lambda c: F.when(F.abs(c) < 2.0**53, F.floor(c).cast("double")).otherwise(c)  # noqa: E731  doubles beyond are whole
+    return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(key).cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
 def _matrices(ids: pa.Array, vectors: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -55,26 +61,41 @@ def _exact(queries: np.ndarray, rows: np.ndarray) -> bool:
     return most < 2**53
 
 
-def _scores(query: np.ndarray, rows: np.ndarray) -> list[int] | np.ndarray:
+def _scores(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     if _exact(query, rows):
-        return (rows.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-    big = rows.astype(object) @ query.astype(object)
-    return np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in big], np.int64)
+        return (rows @ query).astype(np.int64)
+    q = [*map(int, query.tolist())]
+    out = np.empty(len(rows), object)
+    out[:] = [sum(map(mul, q, map(int, row))) for row in rows.tolist()]
+    return out
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and scores of the k largest, ties to the smaller id."""
+    by = np.lexsort((ids, -scores))[:k] if scores.dtype != object else sorted(range(len(scores)), key=lambda j: (-scores[j], ids[j]))[:k]
+    return ids[by], scores[by]
+
+
+def _floor(score) -> float:
+    """A double that isn't above a score."""
+    return float(score) if abs(score) < 2**53 else float(np.nextafter(min(max(float(score), -1e308), 1e308), -np.inf))
 
 
 def search_batch(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, floors: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the best k rows of a batch that can still be among its best: their ids and scores. floors: what k scores reach already; raised here."""
-    top = int(np.abs(rows).max(initial=0)).bit_length()
+    top = int(np.abs(rows).max(initial=0)).bit_length()  # 1,024 at most
     shift = max(0, top + 1 - bits)
-    cells = rows >> shift  # the approximation; its ends:
-    low = (cells << shift).astype(np.float64)
-    high = low + ((1 << shift) - 1)
-    plus, minus = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-    lower, upper = plus @ low.T + minus @ high.T, plus @ high.T + minus @ low.T
+    cells = np.floor(rows / 2.0**shift)  # the approximation; its ends:
+    low = cells * 2.0**shift
+    high = low + (2.0**shift - 1)
+    plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        lower, upper = plus @ low.T + minus @ high.T, plus @ high.T + minus @ low.T
     slack = 0 if _exact(queries, np.maximum(np.abs(low), np.abs(high))) else 1
     if slack:  # sums beyond a double's integers: widen by their error
-        wide = (np.abs(queries).astype(np.float64) @ np.maximum(np.abs(low), np.abs(high)).T) * 2.0**-40
-        lower, upper = lower - wide, upper + wide
+        with np.errstate(over="ignore", invalid="ignore"):
+            wide = (np.abs(queries) @ np.maximum(np.abs(low), np.abs(high)).T) * (2.0**-50 * max(8, rows.shape[1]))
+            lower, upper = np.nan_to_num(lower - wide, nan=-np.inf, posinf=-np.inf, neginf=-np.inf), np.nan_to_num(upper + wide, nan=np.inf, posinf=np.inf, neginf=np.inf)
     found = []
     for i in range(len(q_ids)):
         other = ids != q_ids[i]
@@ -90,12 +111,10 @@ def search_batch(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows:
             if len(best_s) >= k and upper[i][near[at]] < best_s[k - 1]:
                 break  # certain: no vector left can reach the kth score
             part = near[at : at + step]
-            best_s, best_i = np.concatenate((best_s, _scores(queries[i], rows[part]))), np.concatenate((best_i, ids[part]))
-            by = np.lexsort((best_i, -best_s))[:k]
-            best_s, best_i = best_s[by], best_i[by]
+            best_i, best_s = _best(np.concatenate((best_s, _scores(queries[i], rows[part]))), np.concatenate((best_i, ids[part])), k)
             at, step = at + len(part), step * 2
         if len(best_s) >= k:
-            floors[i] = max(floors[i], best_s[k - 1])
+            floors[i] = max(floors[i], _floor(best_s[k - 1]))
         found.append((best_i, best_s))
     return found
 
@@ -140,13 +159,12 @@ def _searcher(sent, k: int, bits: int):
                         for j, (i, s) in enumerate(got, c):
                             if len(i):
                                 i, s = np.concatenate((best[n][j][0], i)), np.concatenate((best[n][j][1], s))
-                                by = np.lexsort((i, -s))[:k]
-                                best[n][j] = (i[by], s[by])
-                                if len(by) == k:
-                                    floors[n][j] = max(floors[n][j], s[by][-1])
+                                best[n][j] = i, s = _best(s, i, k)
+                                if len(i) == k:
+                                    floors[n][j] = max(floors[n][j], _floor(s[-1]))
         for n, (q_ids, _) in groups.items():
             count = [len(i) for i, _ in best[n]]
             if sum(count):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, count)), pa.array(np.concatenate([i for i, _ in best[n]])), pa.array(np.concatenate([s for _, s in best[n]]))], schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, count)), pa.array(np.concatenate([i for i, _ in best[n]])), pa.array([Decimal(max(-LIMIT, min(LIMIT, int(x)))) for _, s in best[n] for x in s], pa.decimal128(38, 0))], schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.decimal128(38, 0))]))
 
     return run

@@ -298,6 +298,17 @@ def test_search_matches_brute_force(spark):
     assert set(got) == set(range(0, 400, 50))
 
 
+def test_search_of_large_components(spark):
+    """Beyond 31 bits, beyond a double's integers and beyond a long: order and scores are exact."""
+    values = [1.0, 1e7, 2e7, 3.0, 1e9, 1e16, -1e16, 1e16 + 2, 123456789.125, 0.001]
+    df = spark.createDataFrame([(i, [x, 1.0]) for i, x in enumerate(values)], "vec_id long, embedding array<double>")
+    whole = [math.floor(256 * x) for x in values]
+    for q in (0, 5, 8):
+        got = [(r.vec_id, int(r.score)) for r in vafile.top_k(df, df.where(F.col("vec_id") == q), k=20).orderBy("rank").collect()]
+        want = sorted((-(whole[q] * whole[i] + 65536), i) for i in range(len(values)) if i != q)
+        assert got == [(i, max(-vafile.LIMIT, min(vafile.LIMIT, -s))) for s, i in want]
+
+
 def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -409,3 +420,17 @@ def test_empty_tables(spark):
     assert pii.replace(none, "k").count() == 0
     assert chat.pack(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     assert F is not None
+
+
+def test_clashing_columns(spark):
+    """Columns with names that operators use inside come back as they were."""
+    words = " ".join(f"w{i}" for i in range(30))
+    odd = ["__match", "__e", "__marked", "__parts", "__host", "__ll", "__best", "__lang", "__id", "__text", "u1", "a.b"]
+    df = docs(spark, [f"Mr. Smith {words}", "plain", None]).select("doc_id", "text", "source", *(F.lit(f"own {c}").alias(c) for c in odd))
+    own = lambda rows: {tuple(r[c] for c in odd) for r in rows}
+    want = {tuple(f"own {c}" for c in odd)}
+    items = spark.createDataFrame([(1, words)], "item_id long, text string")
+    train = spark.createDataFrame([("plain mr smith", "en"), ("w1 w2 w3", "xx")], "text string, lang string")
+    for out in (decontaminate.decontaminate(df, items, most_coverage=1.0), pii.replace(df, "k"), langid.keep_identified(df, train, least=0.0)):
+        rows = out.collect()
+        assert own(rows) == want and out.columns[: len(df.columns)] == df.columns
