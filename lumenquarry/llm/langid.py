@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from .common import discard, save, text_buffer
+from .common import discard, release, save, shielded, text_buffer
 
 CELLS, EFFECTIVE, ALPHA, BETA = 1 << 16, 60, 10.0, 50.0
 UND, UND_PRIOR, MOST_LANGUAGES = "und", 0.01, 512
@@ -42,7 +42,7 @@ NAMED, CONTENT = re.compile(r"(?i)content-language"), re.compile(r"""(?i)content
 def triples(data: np.ndarray, offsets: np.ndarray):
     """Cells of all triples that hold a letter, a window at a time: (cells, text numbers)."""
     n = len(data)
-    step = 1 << 20
+    step = 1 << 18
     for at in range(0, n - 2, step):
         end = min(n - 2, at + step)
         x = LETTERS[data[at : end + 2]].astype(np.uint64)
@@ -72,6 +72,8 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
         for name, counts in held.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], names=["lang", "cell", "n"])
+        held.clear()
+        release()
 
     sums = save(rows.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")), "language_cells")
     langs = sorted(r.lang for r in sums.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
@@ -136,6 +138,7 @@ def evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
                 ll = log_likelihoods(texts, sent.value)
                 col = pa.ListArray.from_arrays(pa.array(np.arange(0, ll.size + 1, ll.shape[1], dtype=np.int32)), pa.array(ll.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], col, said], names=schema.names)
+        release()
 
     return rows.mapInArrow(run, schema)
 
@@ -154,12 +157,12 @@ def fuse(rows: DataFrame, langs: list[str], host=None) -> DataFrame:
     best = F.when(flat, None).otherwise(F.array_position("__ll", F.array_max("__ll")) - 1)
     own = rows.withColumns({"__host": host, "__best": best})
     own = own.withColumns({"__suffix": F.regexp_extract("__host", r"([^.:]+)(?::\d+)?$", 1), "__domain": F.regexp_extract("__host", r"([^.]+\.[^.:]+)(?::\d+)?$", 1)})
-    own = save(own, "language_evidence")
-    zero = F.array(*[F.lit(0.0)] * k)
-    mark = F.when(F.col("__best").isNull(), zero).otherwise(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i == F.col("__best")).cast("double")))
     known = F.when(F.col("__declared").isin(langs), F.col("__declared")).when(F.col("__declared").isNotNull(), F.lit("other"))
     own = own.withColumn("__declared", known)
-    total = [r["__best"] for r in own.where("__best is not null").groupBy("__best").agg(F.count("*").alias("n")).select(F.struct("__best", "n").alias("__best")).collect()]
+    decided = save(own.select("__best", "__host", "__domain", "__suffix", "__declared"), "language_evidence")  # texts are read again below rather than written
+    zero = F.array(*[F.lit(0.0)] * k)
+    mark = F.when(F.col("__best").isNull(), zero).otherwise(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i == F.col("__best")).cast("double")))
+    total = [r["__best"] for r in decided.where("__best is not null").groupBy("__best").agg(F.count("*").alias("n")).select(F.struct("__best", "n").alias("__best")).collect()]
     overall = np.ones(k)
     for r in total:
         overall[r["__best"]] += r["n"]
@@ -169,7 +172,8 @@ def fuse(rows: DataFrame, langs: list[str], host=None) -> DataFrame:
     everyone = [float(x) for x in everyone / everyone.sum()]
     prior = F.array(*map(F.lit, everyone))
     sizes = F.array(*(F.lit(float(x)) for x in overall))
-    own = own.join(_by(own, "__host", k, "__h"), "__host", "left").join(_by(own, "__domain", k, "__d"), "__domain", "left").join(_by(own, "__suffix", k, "__s"), "__suffix", "left").join(_by(own, "__declared", k, "__m"), "__declared", "left")
+    for by, column in [*zip(("__host", "__domain", "__suffix", "__declared"), ("__h", "__d", "__s", "__m"))]:
+        own = own.join(save(_by(decided, by, k, column), "language_counts"), by, "left")  # written: where its size is small, no row of own is moved
     own = own.withColumn("__mark", mark)
     less = lambda c: F.zip_with(F.coalesce(c, F.col("__mark")), F.col("__mark"), lambda a, b: F.greatest(a - b, F.lit(0.0)))  # noqa: E731  without the row's own decision
     own = own.withColumns({"__h": less(F.col("__h")), "__d": less(F.col("__d"))})
@@ -201,6 +205,10 @@ def identify_pages(pages: DataFrame, training: DataFrame, key: str = "page_id",
 def keep_identified(docs: DataFrame, training: DataFrame, least: float = 0.5, text: str = "text", host: str = "source") -> DataFrame:
     """docs without those that are in no language (`und`) or whose language has a posterior below least; its columns as they are."""
     model = train(training, text)
-    rows = evidence(docs, model, docs.columns, text=text)
-    out = fuse(rows, model[0], F.col(host) if host in docs.columns else None)
-    return out.where((F.col("__lang") != UND) & (F.col("__confidence") >= least)).select(docs.columns)
+
+    def kept(own: DataFrame, name) -> DataFrame:
+        rows = evidence(own, model, own.columns, text=name[text])
+        out = fuse(rows, model[0], F.col(name[host]) if host in name else None)
+        return out.where((F.col("__lang") != UND) & (F.col("__confidence") >= least)).select(own.columns)
+
+    return shielded(docs, kept)
