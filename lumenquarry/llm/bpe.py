@@ -15,7 +15,7 @@ A unit's end (where the splitting pattern starts a new piece) makes all of it st
 Null texts count as empty; an empty text has no ids. Every text is fed in portions; of what has come, the part before a single
 space between two other characters is done at once. A unit without such a place is held until it ends, and its long
 pieces go through the transducer in chunks. What the transducer gives for short units is remembered; the memo tables are
-bounded (also within a text), and the tables of a task's texts are dropped when it ends.
+bounded, also within a text; encode_table() drops them when its task ends.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ PRINTABLE = ((33, 126), (161, 172), (174, 255))
 
 UNIT = 1 << 14
 HEAD = 8
-CACHED = 600_000
+CACHED = 700_000
 CHUNK = 1 << 16
 
 
@@ -170,11 +170,6 @@ class Vocabulary:
         found = self.splits.findall(unit)
         return self.pieces[found[0]] if len(found) == 1 else tuple(chain.from_iterable(map(self.pieces.__getitem__, found)))
 
-    def forget(self) -> None:
-        """Drops what was remembered of texts; what concerns pairs of tokens stays."""
-        for cache in (self.units, self.loose, self.heads, self.first, self.pieces):
-            cache.clear()
-
     def trim(self) -> None:
         """Keeps the memo tables bounded (`cached` units, of others less); they hold no state."""
         n = self.cached
@@ -354,7 +349,7 @@ def decode(v: Vocabulary, ids: list[int]) -> str:
     return "".join([*(d.feed(ids[i : i + CHUNK]) for i in range(0, len(ids), CHUNK)), d.finish()])
 
 
-def encode_table(df: DataFrame, path: str, text: str = "text", ids: str = "ids", cached: int = CACHED // 4) -> DataFrame:
+def encode_table(df: DataFrame, path: str, text: str = "text", ids: str = "ids", cached: int = 150_000) -> DataFrame:
     """df with the ids (array<int>) of its texts; a column of that name is replaced. cached: units that a task remembers; fewer take less memory, more time."""
 
     def run(batches):
@@ -398,7 +393,5 @@ def round_trip(df: DataFrame, path: str, derive: Callable[[list[int], str], tupl
                 made.append(derive(ids, decode(v, ids)))
             cols = list(zip(*made)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(want)[1:]))], schema=want)
-        v.forget()
-        release()
 
     return rows.mapInArrow(run, out)
