@@ -68,7 +68,7 @@ MOD/2 := mod({0}, {1})
 GCD/2 := aggregate(sequence(1, 93), named_struct('a', abs(cast({0} AS bigint)), 'b', abs(cast({1} AS bigint))), (s, i) -> if(s.b = 0, s, named_struct('a', s.b, 'b', s.a % s.b)), s -> s.a)
 LCM/2 := if({0} = 0 OR {1} = 0, 0L, cast(abs(cast({0} AS decimal(38, 0)) * {1}) / aggregate(sequence(1, 93), named_struct('a', abs(cast({0} AS bigint)), 'b', abs(cast({1} AS bigint))), (s, i) -> if(s.b = 0, s, named_struct('a', s.b, 'b', s.a % s.b)), s -> s.a) AS bigint))
 RAND/0 := rand()
-RAND/1 := rand({0})
+RAND/1 := pmod(xxhash64(cast({0} AS bigint)), 9007199254740992L) / 9007199254740992D
 NOW/0 := localtimestamp()
 CURRENT_TIMESTAMP/0 := localtimestamp()
 CURRENT_DATE/0 := current_date()

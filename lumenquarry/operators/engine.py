@@ -274,7 +274,7 @@ class Engine:
     def _begin(self) -> str:
         if self.saved:
             raise SqlError("a transaction is open")
-        self.saved = ({n: copy.copy(t) for n, t in self.tables.items()}, dict(self.functions))
+        self.saved = ({n: _as_it_is(t) for n, t in self.tables.items()}, dict(self.functions))
         return "begin"
 
     def _commit(self) -> str:
@@ -301,6 +301,13 @@ class Engine:
         raise SqlError(f"SHOW {what}")
 
 
+def _as_it_is(table: Table) -> Table:
+    """A copy that later changes of the table's indexes don't reach."""
+    out = copy.copy(table)
+    out.indexes = dict(table.indexes)
+    return out
+
+
 def _fields(e):
     if isinstance(e, tuple) and e[:1] == ("col",):
         return ("cast_doc", e[1][-1])

@@ -68,6 +68,22 @@ def test_transaction_alter_index_function(engine):
     assert engine.sql("SHOW FUNCTIONS") == [["TWICE(x: INT, y: INT)"]]
 
 
+def test_rollback_of_an_index(engine):
+    engine.sql("BEGIN; CREATE INDEX gone ON boss (rank); ROLLBACK")
+    assert engine.sql("SHOW INDEXES FROM boss") == [[]]
+
+
+def test_storage_names(engine):
+    engine.sql("CREATE TABLE here (id INT) ENGINE = parquet")
+    with pytest.raises(SqlError):
+        engine.sql("CREATE TABLE there (id INT) ENGINE = elsewhere")
+
+
+def test_random_number_of_a_seed(engine):
+    got = [r[0] for r in engine.query("SELECT RAND(1) AS r FROM boss").collect()]
+    assert len(set(got)) == 1 and 0 <= got[0] < 1 and got[0] != engine.query("SELECT RAND(2) AS r").first()[0]
+
+
 def test_schemaless(engine):
     engine.sql("""CREATE TABLE docs; INSERT INTO docs VALUES ('{"a": 1, "b": {"c": 2}}'), ('{"a": 5}')""")
     assert rows(engine.query("SELECT a AS a, zz AS zz FROM docs WHERE a = '5'")) == [("5", None)]
