@@ -128,7 +128,7 @@ class Engine:
             if c["unique"] and c["type"] in ("FLOAT", "FLOAT32", "MAP"):
                 raise SqlError(f"{c['type']} can't be UNIQUE")
         for _, own, parent, key in keys:
-            if not any(c["primary"] and c["name"] == key for c in self._table(parent).columns or []):
+            if not any(c["primary"] and c["name"] == key for c in (cols if parent == name else self._table(parent).columns) or []):
                 raise SqlError(f"{parent}.{key} isn't a primary key")
         if source is not None:
             frame = self.spark.sql(self.compiler().query(source))
@@ -208,11 +208,15 @@ class Engine:
         cond = f"coalesce({comp.expr(where)}, false)" if where else "true"
         gone = self.spark.sql(f"SELECT * FROM {quote(view)} AS {quote(name)} WHERE {cond}")
         n = gone.count()
+        kept = self.spark.sql(f"SELECT * FROM {quote(view)} AS {quote(name)} WHERE NOT {cond}")
         for m, other in self.tables.items():
             for own, parent, key in other.foreign:
-                if parent == name and m != name and not other.frame.join(gone, other.frame[own] == gone[key], "left_semi").isEmpty():
+                if parent != name:
+                    continue
+                users = (kept if m == name else other.frame).select(F.col(quote(own)).alias("own"))
+                if not users.join(gone.select(F.col(quote(key)).alias("own")), "own", "left_semi").isEmpty():
                     raise ConstraintError(f"rows of {name} are referenced by {m}.{own}")
-        self._store(name, self.spark.sql(f"SELECT * FROM {quote(view)} AS {quote(name)} WHERE NOT {cond}"))
+        self._store(name, kept)
         return n
 
     def _alter(self, name, change) -> str:

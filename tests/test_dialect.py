@@ -73,6 +73,14 @@ def test_rollback_of_an_index(engine):
     assert engine.sql("SHOW INDEXES FROM boss") == [[]]
 
 
+def test_foreign_key_to_the_own_table(engine):
+    engine.sql("CREATE TABLE staff (id INT PRIMARY KEY, chief INT NULL, FOREIGN KEY (chief) REFERENCES staff (id)); INSERT INTO staff VALUES (1, NULL), (2, 1), (3, 3)")
+    for bad in ("INSERT INTO staff VALUES (4, 9)", "DELETE FROM staff WHERE id = 1", "UPDATE staff SET chief = 7 WHERE id = 2"):
+        with pytest.raises(ConstraintError):
+            engine.sql(bad)
+    assert engine.sql("DELETE FROM staff WHERE id >= 2; DELETE FROM staff") == [2, 1]
+
+
 def test_storage_names(engine):
     engine.sql("CREATE TABLE here (id INT) ENGINE = parquet")
     with pytest.raises(SqlError):
