@@ -100,7 +100,7 @@ POINT/2 := named_struct('x', cast({0} AS double), 'y', cast({1} AS double))
 GET_X/1 := {0}.x
 GET_Y/1 := {0}.y
 CALC_DISTANCE/2 := sqrt(power({0}.x - {1}.x, 2) + power({0}.y - {1}.y, 2))
-UNWRAP/2 := try_variant_get({0}, concat('$.', {1}), 'string')
+UNWRAP/2 := coalesce(try_variant_get({0}, concat('$', regexp_replace(concat('.', {1}), '[.]([0-9]+)(?=[.]|$)', '[$1]')), 'string'), try_variant_get({0}, concat('$.', {1}), 'string'))
 SPLIT/2 := split({0}, concat('\\\\Q', {1}, '\\\\E'), -1)
 MAP_OF_JSON/1 := from_json({0}, 'map<string,string>')
 """)

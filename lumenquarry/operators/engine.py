@@ -1,12 +1,16 @@
 """Statements over a catalog of tables: queries are lazy DataFrames; changes write a new version and swap a pointer.
 
 A managed table is a folder of Parquet versions under the warehouse folder; nothing that is read is ever overwritten. A
-transaction keeps a copy of the catalog and puts it back on ROLLBACK. One writer at a time."""
+transaction keeps a copy of the catalog and puts it back on ROLLBACK. One writer at a time. A statement reads and makes views of
+only the tables that it names.
+
+An engine is strict unless told otherwise: AND, OR and BETWEEN with a NULL on either side are NULL; LIKE and GREATEST of a NULL are errors."""
 
 from __future__ import annotations
 
 import copy
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,18 +26,46 @@ class ConstraintError(ValueError):
 
 @dataclass
 class Table:
-    frame: DataFrame
+    source: DataFrame | Callable[[], DataFrame]  # a reader is called when a statement first names the table
     columns: list[dict] | None = None  # None: a table of files, without constraints
     foreign: list[tuple] = field(default_factory=list)
     indexes: dict[str, tuple] = field(default_factory=dict)
     comment: str | None = None
 
+    @property
+    def frame(self) -> DataFrame:
+        if not isinstance(self.source, DataFrame):
+            self.source = self.source()
+        return self.source
+
+    @frame.setter
+    def frame(self, frame: DataFrame) -> None:
+        self.source = frame
+
 
 DICTIONARY = ("CATALOG_TABLES", "CATALOG_COLUMNS", "CATALOG_INDEXES", "CATALOG_OBJECTS")
 
 
+class Views:
+    """table name -> (view name, {column: type}); a view is made when its table is first asked for."""
+
+    def __init__(self, engine: Engine):
+        self.engine, self.known = engine, {}
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.engine.tables or name in DICTIONARY
+
+    def __getitem__(self, name: str) -> tuple[str, dict[str, str]]:
+        if name not in self.known:
+            frame = self.engine.tables[name].frame if name in self.engine.tables else self.engine._dictionary(name)
+            view = f"t_{self.engine.own}_{name}"
+            frame.createOrReplaceTempView(view)
+            self.known[name] = (view, dict(frame.dtypes))
+        return self.known[name]
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, warehouse: str | None = None, strict: bool = False):
+    def __init__(self, spark: SparkSession, warehouse: str | None = None, strict: bool = True):
         self.spark, self.strict = spark, strict
         self.warehouse = warehouse or (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/lumenquarry").rstrip("/") + "/tables"
         self.tables: dict[str, Table] = {}
@@ -49,16 +81,11 @@ class Engine:
 
     def folder(self, path: str, *names: str) -> Engine:
         for name in names:
-            self.register(name, self.spark.read.parquet(f"{path}/{name}.parquet"))
+            self.tables[name] = Table(lambda name=name: self.spark.read.parquet(f"{path}/{name}.parquet"))
         return self
 
     def compiler(self) -> Compiler:
-        known = {}
-        for name, t in [*self.tables.items(), *((d, Table(f)) for d in DICTIONARY if (f := self._dictionary(d)) is not None)]:
-            view = f"t_{self.own}_{name}"
-            t.frame.createOrReplaceTempView(view)
-            known[name] = (view, dict(t.frame.dtypes))
-        return Compiler(self.spark, known, self.functions, self.strict)
+        return Compiler(self.spark, Views(self), self.functions, self.strict)
 
     def explain(self, text: str, params: tuple = ()) -> str:
         """The Spark SQL of a query."""
@@ -87,7 +114,7 @@ class Engine:
                 return {k: _fields(v) if k in ("select", "where", "group", "having", "order") else v for k, v in q.items()}
         return q
 
-    def _dictionary(self, name: str) -> DataFrame | None:
+    def _dictionary(self, name: str) -> DataFrame:
         make = lambda rows, schema: self.spark.createDataFrame(rows, schema)
         if name == "CATALOG_TABLES":
             return make([(n, t.comment) for n, t in sorted(self.tables.items())], "TABLE_NAME string, COMMENT string")
@@ -164,7 +191,9 @@ class Engine:
                 raise SqlError("columns and values differ in number")
             new, comp = new.toDF(*names), self.compiler()
             missing = {c["name"]: c["default"] for c in t.columns or [] if c["name"] not in names}
-            new = new.select(*(F.col(quote(f.name)).cast(f.dataType).alias(f.name) if f.name in names else F.expr(comp.expr(missing[f.name]) if missing.get(f.name) else "NULL").cast(f.dataType).alias(f.name) for f in fields))
+            given = dict(new.dtypes)
+            typed = lambda f: F.parse_json(F.col(quote(f.name))) if f.dataType.typeName() == "variant" and given[f.name] == "string" else F.col(quote(f.name)).cast(f.dataType)  # noqa: E731  text for a MAP or LIST is JSON
+            new = new.select(*(typed(f).alias(f.name) if f.name in names else F.expr(comp.expr(missing[f.name]) if missing.get(f.name) else "NULL").cast(f.dataType).alias(f.name) for f in fields))
         n = new.count()
         self._check(name, new, t.frame.unionAll(new))
         self._store(name, t.frame.unionAll(new))
@@ -193,7 +222,8 @@ class Engine:
                 raise ConstraintError(f"{name}.{c} is the primary key")
         comp.kinds.append(known)
         cond = f"coalesce({comp.expr(where)}, false)" if where else "true"
-        new = {c: f"CASE WHEN {cond} THEN cast({comp.expr(e)} AS {known[c]}) ELSE {quote(c)} END" for c, e in sets}
+        typed = lambda c, e: f"parse_json({comp.expr(e)})" if known[c] == "variant" and comp.type_of(e) != "variant" else f"cast({comp.expr(e)} AS {known[c]})"
+        new = {c: f"CASE WHEN {cond} THEN {typed(c, e)} ELSE {quote(c)} END" for c, e in sets}
         view, _ = comp.catalog[name]
         out = self.spark.sql(f"SELECT {', '.join(f'{new[c]} AS {quote(c)}' if c in new else quote(c) for c in known)} FROM {quote(view)} AS {quote(name)}")
         n = self.spark.sql(f"SELECT count(*) FROM {quote(view)} AS {quote(name)} WHERE {cond}").first()[0]

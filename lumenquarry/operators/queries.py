@@ -116,6 +116,11 @@ Q: dict[str, tuple[str, str | None]] = {
     "fn_lists": ("SELECT p_partkey, CONCAT_WS(',', SORT(SPLIT(p_type, ' '))) AS a, CONCAT_WS(',', TAKE(SPLIT(p_type, ' '), 2)) AS b, CONCAT_WS(',', SKIP(SPLIT(p_type, ' '), 1)) AS c, SPLIT(p_type, ' ')[0] AS d, IS_EMPTY(SPLIT(p_type, ' ')) AS e, CONCAT_WS(',', APPEND(SPLIT(p_type, ' '), 'Z')) AS f, CONCAT_WS(',', PREPEND(SPLIT(p_type, ' '), 'A')) AS g FROM part", "SELECT p_partkey, array_to_string(list_sort(string_split(p_type, ' ')), ',') AS a, array_to_string(string_split(p_type, ' ')[1:2], ',') AS b, array_to_string(string_split(p_type, ' ')[2:], ',') AS c, string_split(p_type, ' ')[1] AS d, false AS e, replace(p_type, ' ', ',') || ',Z' AS f, 'A,' || replace(p_type, ' ', ',') AS g FROM part"),
     "fn_list_edit": ("SELECT CONCAT_WS(',', DEDUP(ARRAY['1', '1', '2', '1'])) AS a, CONCAT_WS(',', SPLICE(ARRAY['a', 'b', 'c', 'd'], 1, 3, ARRAY['x'])) AS b, CONCAT_WS(',', SLICE(ARRAY['a', 'b', 'c', 'd'], -2, 2)) AS c, CONCAT_WS(',', SORT(ARRAY['b', 'a'], 'DESC')) AS d", "SELECT '1,2,1' AS a, 'a,x,d' AS b, 'c,d' AS c, 'b,a' AS d"),
     "fn_maps": ("SELECT event_id, MAP_OF_JSON(props)['k'] AS k, CONCAT_WS(',', KEYS(MAP_OF_JSON(props))) AS ks, CONCAT_WS(',', VALUES(MAP_OF_JSON(props))) AS vs, MAP_OF_JSON(props) -> 'zz' AS none FROM events", "SELECT event_id, props::JSON ->> 'k' AS k, 'k' AS ks, props::JSON ->> 'k' AS vs, CAST(NULL AS VARCHAR) AS none FROM events"),
+    "strict_null_rows": ("SELECT l_orderkey, l_linenumber, (NULLIF(l_discount, 0.0) > 0.05 OR l_quantity > 25) IS NULL AS a, (NULLIF(l_discount, 0.0) > 0.05 AND l_quantity > 25) IS NULL AS b, l_quantity BETWEEN 10 AND NULLIF(l_linenumber, 1) IS NULL AS c FROM lineitem", "SELECT l_orderkey, l_linenumber, l_discount = 0.0 AS a, l_discount = 0.0 AS b, l_linenumber = 1 AS c FROM lineitem"),
+    "strict_null_filter": ("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NULLIF(l_discount, 0.0) > 0.05 OR l_quantity > 25", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount <> 0.0 AND (l_discount > 0.05 OR l_quantity > 25)"),
+    "fn_list_type": ("SELECT o_orderkey, CONCAT_WS(',', APPEND(CAST('[3,1,' || o_orderkey || ']' AS LIST), 'z')) AS a, CONCAT_WS(',', TAKE(CAST('[3,1,' || o_orderkey || ']' AS LIST), 2)) AS b, LENGTH(CAST('[3,1,' || o_orderkey || ']' AS LIST)) AS c, IS_EMPTY(CAST('[]' AS LIST)) AS d, UNWRAP(CAST('{\"a\":[{\"b\":' || o_orderkey || '}]}' AS MAP), 'a.0.b') AS e FROM orders", "SELECT o_orderkey, '3,1,' || o_orderkey || ',z' AS a, '3,1' AS b, CAST(3 AS BIGINT) AS c, true AS d, CAST(o_orderkey AS VARCHAR) AS e FROM orders"),
+    "fn_map_type": ("SELECT event_id, CONCAT_WS(',', KEYS(CAST(props AS MAP))) AS ks, CONCAT_WS(',', VALUES(CAST(props AS MAP))) AS vs, IS_EMPTY(CAST(props AS MAP)) AS e FROM events", "SELECT event_id, 'k' AS ks, props::JSON ->> 'k' AS vs, false AS e FROM events"),
+    "distinct_map": ("SELECT UNWRAP(t.m, 'k') AS k FROM (SELECT DISTINCT CAST(props AS MAP) AS m FROM events) AS t", "SELECT DISTINCT props::JSON ->> 'k' AS k FROM events"),
     "fn_unwrap": ("SELECT event_id, UNWRAP(CAST(props AS MAP), 'k') AS k FROM events", "SELECT event_id, props::JSON ->> 'k' AS k FROM events"),
 }
 

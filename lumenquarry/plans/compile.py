@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime
 import decimal
 
+from pyspark.errors import AnalysisException
+
 from ..functions import scalar
 from .parser import AGGREGATES, SqlError
 
@@ -16,6 +18,10 @@ TYPES = {
 }
 UNSIGNED = {"UINT8": 2**8 - 1, "UINT16": 2**16 - 1, "UINT32": 2**32 - 1, "UINT64": 2**64 - 1, "UINT128": 10**38 - 1}
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
+BITS = {"tinyint": 8, "smallint": 16, "int": 32}
+#: Functions whose first argument can be a LIST or a MAP: these are read as arrays and maps of text.
+OF_LISTS = ("APPEND", "PREPEND", "SKIP", "TAKE", "SLICE", "SORT", "DEDUP", "SPLICE")
+OF_MAPS = ("ENTRIES", "KEYS", "VALUES")
 
 
 def quote(name: str) -> str:
@@ -27,9 +33,9 @@ def text_literal(s: str) -> str:
 
 
 class Compiler:
-    """catalog: table name -> (view name, {column: type}); functions: name -> (args, body)."""
+    """catalog: table name -> (view name, {column: type}); functions: name -> (args, body); strict: NULL makes AND, OR and BETWEEN NULL, LIKE and GREATEST errors."""
 
-    def __init__(self, spark, catalog, functions, strict: bool = False):
+    def __init__(self, spark, catalog, functions, strict: bool = True):
         self.spark, self.catalog, self.functions, self.strict = spark, catalog, functions, strict
         self.kinds: list[dict[str, str]] = []  # column types of the sources in scope, innermost last
         self.grouped: list[list[tuple] | None] = []
@@ -49,17 +55,23 @@ class Compiler:
             froms += f" {'CROSS' if not cond else kind} JOIN {name}{cond}"
         where = f" WHERE {self.condition(q['where'])}" if q["where"] else ""
         items = q["select"]
+        if q["distinct"] and not q["joins"] and "variant" in scope.values():
+            items = [x for e, label in items for x in ([(("col", [c]), c) for c in scope] if e[0] == "star" else [(e, label)])]
         grouping = bool(q["group"]) or q["having"] is not None or any(has_aggregate(e) for e, _ in items)
         labels = {label: e for e, label in items if label}
         group = [items[int(g[1]) - 1][0] if g[0] == "num" and g[1].isdigit() else labels.get(g[1][0], g) if g[0] == "col" and len(g[1]) == 1 and g[1][0] not in scope and not has_aggregate(labels.get(g[1][0], g)) else g for g in q["group"]]
         by = f" GROUP BY {', '.join(map(self.expr, group))}" if group else ""
         self.grouped.append(group if grouping else None)
-        cols = ", ".join(self._item(e, label) for e, label in items)
+        documents = [label for e, label in items if q["distinct"] and e[0] != "star" and self.type_of(e) == "variant"]
+        cols = ", ".join(f"to_json({self.expr(e)}) AS {quote(label)}" if label in documents else self._item(e, label) for e, label in items)
         having = f" HAVING {self.condition(q['having'])}" if q["having"] else ""
         tail = self._tail(q, items)
         self.grouped.pop()
         self.kinds.pop()
-        return f"SELECT {'DISTINCT ' if q['distinct'] else ''}{cols} {froms}{where}{by}{having}{tail}"
+        out = f"SELECT {'DISTINCT ' if q['distinct'] else ''}{cols} {froms}{where}{by}{having}{tail}"
+        if documents:  # LIST and MAP have no equality in Spark: their JSON, with sorted keys, stands for them
+            out = f"SELECT {', '.join(f'parse_json({quote(label)}) AS {quote(label)}' if label in documents else quote(label) for _, label in items)} FROM ({out})"
+        return out
 
     def _item(self, e: tuple, label: str | None) -> str:
         if e[0] == "star":
@@ -94,8 +106,10 @@ class Compiler:
             text = f"({self.query(what)})"
             try:
                 types = dict(self.spark.sql(text).dtypes)
-            except Exception:  # correlated: its types are known only inside the outer query
-                types = {}
+            except AnalysisException as e:
+                if not (e.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+                    raise
+                types = {}  # correlated: its types are known only inside the outer query
             name = alias
         else:
             if what not in self.catalog:
@@ -202,17 +216,17 @@ class Compiler:
     def _bin_(self, op, l, r):
         a, b = self.expr(l), self.expr(r)
         if op in ("AND", "OR") and self.strict:
-            return f"(CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL ELSE {a} {op} {b} END)"
+            return f"(CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL ELSE {a} {op} {b} END)" if self._nullable(l) or self._nullable(r) else f"({a} {op} {b})"
         if op == "XOR":
             return f"(CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL ELSE {a} <> {b} END)"
         if op == "/" and self.type_of(l) in INTEGERS and self.type_of(r) in INTEGERS:
             if l[0] == r[0] == "num":  # two literals are exact
                 return f"({a} / {b})"
             return f"({a} div {b})"
-        if op == "<<":
-            return f"shiftleft({a}, cast({b} AS int))"
-        if op == ">>":
-            return f"shiftright({a}, cast({b} AS int))"
+        if op in ("<<", ">>"):
+            most = BITS.get(self.type_of(l), 64) - 1
+            out = f"{'shiftleft' if op == '<<' else 'shiftright'}({a}, cast({b} AS int))"
+            return out if r[0] == "num" and r[1].isdigit() and int(r[1]) <= most else f"if({b} < 0 OR {b} > {most}, raise_error('a shift by more bits than the number has'), {out})"
         return f"({a} {op} {b})"
 
     def _un_(self, op, x):
@@ -246,13 +260,22 @@ class Compiler:
     def _between_(self, x, lo, hi, no):
         a, l, h = map(self.expr, (x, lo, hi))
         inside = f"({a} BETWEEN {l} AND {h})"
-        if self.strict:
+        if self.strict and (self._nullable(lo) or self._nullable(hi)):  # a NULL between literals is NULL anyway
             inside = f"(CASE WHEN {a} IS NULL OR {l} IS NULL OR {h} IS NULL THEN NULL ELSE {inside} END)"
         return f"(NOT {inside})" if no else inside
 
+    @staticmethod
+    def _nullable(e: tuple) -> bool:
+        """Whether an expression can be NULL, as far as its form tells."""
+        return not (e[0] in ("num", "str", "true", "false", "isnull", "exists") or (e[0] == "un" and e[1] in "+-" and e[2][0] == "num"))
+
     def _like_(self, x, p, no, any_case):
         pattern = text_literal(p[1].replace("\\", "\\\\")) if p[0] == "str" else f"replace({self.expr(p)}, '\\\\', '\\\\\\\\')"
-        return f"({self.expr(x)} {'NOT ' if no else ''}{'ILIKE' if any_case else 'LIKE'} {pattern})"
+        a = self.expr(x)
+        out = f"({a} {'NOT ' if no else ''}{'ILIKE' if any_case else 'LIKE'} {pattern})"
+        if self.strict:  # coalesce reads the error only where the comparison is NULL
+            return f"coalesce({out}, cast(raise_error('LIKE of a NULL') AS boolean))"
+        return out
 
     def _case_(self, operand, whens, other):
         head = f" {self.expr(operand)}" if operand else ""
@@ -305,6 +328,10 @@ class Compiler:
             return f"cast(extract({args[0][1]} FROM {self.expr(args[1])}) AS bigint)"
         if name == "TRIM":
             return f"trim({args[0][1]} {self.expr(args[1])} FROM {self.expr(args[2])})"
+        if name in ("LENGTH", "IS_EMPTY") and len(args) == 1 and self.type_of(args[0]) == "variant":
+            a = self.expr(args[0])
+            size = f"cast(coalesce(size(try_variant_get({a}, '$', 'array<variant>')), size(try_variant_get({a}, '$', 'map<string,variant>'))) AS bigint)"
+            return size if name == "LENGTH" else f"({size} = 0)"
         if name == "LENGTH" and len(args) == 1:
             kind = self.type_of(args[0]) or ""
             a = self.expr(args[0])
@@ -314,10 +341,17 @@ class Compiler:
         if name in self.functions:
             return self._custom(name, args)
         done = [self.expr(a) for a in args]
+        if args and self.type_of(args[0]) == "variant" and name in (*OF_LISTS, *OF_MAPS):
+            done[0] = f"try_variant_get({done[0]}, '$', '{'array<string>' if name in OF_LISTS else 'map<string,string>'}')"
+            if name in ("APPEND", "PREPEND"):
+                done[1] = f"cast({done[1]} AS string)"
         if name in scalar.ANY:
             if not done or (name == "GREATEST" and len(done) < 2):
                 raise SqlError(f"{name} needs more arguments")
-            return scalar.ANY[name].format(", ".join(done))
+            out = scalar.ANY[name].format(", ".join(done))
+            if name == "GREATEST" and self.strict:
+                return f"if({' OR '.join(f'{a} IS NULL' for a in done)}, raise_error('GREATEST of a NULL'), {out})"
+            return out
         if (name, len(args)) not in scalar.TEMPLATES:
             raise SqlError(f"no function {name} of {len(args)} arguments")
         if name == "DIV" and all(self.type_of(a) in INTEGERS for a in args):

@@ -35,9 +35,12 @@ def test_expressions(spark, text, want):
 
 
 def test_strict_nulls(spark):
-    e = Engine(spark, strict=True)
-    assert e.query("SELECT NULL OR TRUE AS v").first()[0] is None
-    assert Engine(spark).query("SELECT NULL OR TRUE AS v").first()[0] is True
+    e = Engine(spark)
+    assert e.query("SELECT NULL OR TRUE AS a, NULL AND FALSE AS b, 1 IS NULL OR TRUE AS c").first() == (None, None, True)
+    assert Engine(spark, strict=False).query("SELECT NULL OR TRUE AS v").first()[0] is True
+    for bad in ("GREATEST(1, NULL)", "CAST(NULL AS TEXT) LIKE 'a%'", "1 << CAST(64 AS INT)", "CAST(1 AS INT) >> CAST(-1 AS INT)"):
+        with pytest.raises(Exception, match="of a NULL|more bits"):
+            e.query(f"SELECT {bad} AS v").collect()
 
 
 def test_null_order_and_bare_columns(engine):
@@ -101,3 +104,21 @@ def test_builder(engine):
     q = table("boss").select().filter("rank = 5").filter("id > 1").project("id, rank + 1 AS r").order_by("id DESC").limit(1)
     assert rows(q.run(engine)) == [(3, 6)]
     assert rows(series(3).project("N AS k").run(engine)) == [(1,), (2,), (3,)]
+
+
+def test_lists_and_maps(engine):
+    engine.sql("""CREATE TABLE bag (id INT, m MAP, l LIST); INSERT INTO bag VALUES (1, '{"b": 1, "a": [5, {"c": "x"}]}', '[2, 1, 1]'), (2, '{"a": [5, {"c": "x"}], "b": 1}', '[2, 1, 1]'), (3, '{}', '[]')""")
+    got = rows(engine.query("SELECT id, LENGTH(m) AS a, IS_EMPTY(l) AS b, CONCAT_WS(',', KEYS(m)) AS c, CONCAT_WS(',', SORT(DEDUP(l))) AS d, CONCAT_WS(',', PREPEND(l, 9)) AS e, UNWRAP(m, 'a.1.c') AS f FROM bag WHERE id <> 2"))
+    assert got == [(1, 2, False, "a,b", "1,2", "9,2,1,1", "x"), (3, 0, True, "", "", "9", None)]
+    assert engine.query("SELECT DISTINCT m, l FROM bag").count() == 2 and engine.query("SELECT DISTINCT * FROM (SELECT m, l FROM bag) AS t").count() == 2
+    engine.sql("""UPDATE bag SET l = '[7]' WHERE id = 3""")
+    assert rows(engine.query("SELECT l[0] AS x FROM bag")) == [("2",), ("2",), ("7",)]
+
+
+def test_only_named_tables_are_read(spark, tmp_path):
+    e = Engine(spark, str(tmp_path)).folder("/nowhere", "missing").register("here", spark.range(3))
+    assert e.query("SELECT COUNT(*) AS n FROM here").first()[0] == 3
+    with pytest.raises(SqlError):
+        e.query("SELECT * FROM elsewhere")
+    with pytest.raises(Exception, match="(?i)path"):
+        e.query("SELECT * FROM missing")
