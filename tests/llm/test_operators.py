@@ -434,3 +434,53 @@ def test_clashing_columns(spark):
     for out in (decontaminate.decontaminate(df, items, most_coverage=1.0), pii.replace(df, "k"), langid.keep_identified(df, train, least=0.0)):
         rows = out.collect()
         assert own(rows) == want and out.columns[: len(df.columns)] == df.columns
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """Each stage against brute force on its own input, nulls and odd texts included; run() is the stages in a row; empty tables pass."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(17)
+    en, de = (s.split() for s in ("the cat dog house walked over there and then under which window they were looking for something", "der hund die katze haus lief dort und dann unter welches fenster sie suchten nach etwas anderem"))
+    prose = lambda words, k: " ".join(rng.choice(words) for _ in range(k))
+    item = " ".join(f"{w}{i}" for i, w in enumerate(prose(en, 14).split()))
+    clean = [prose(en if i % 2 else de, 90) for i in range(40)]
+    texts = [*clean, clean[3], clean[4] + " there", clean[3] + " and", prose(en, 80) + " " + item + " " + prose(en, 80), prose(en, 60) + " mail anna.b@somewhere.org now", None, "", "12 34", "x" * 6000]
+    rows = [(i, t, "de" if i < 40 and i % 2 == 0 else "en" if i < 40 else None, f"site{i % 3}" if i % 7 else None, len(t) if t is not None else None) for i, t in enumerate(texts)]
+    rows.append((None, clean[5], "en", None, 0))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, part in (("full", rows), ("none", [])):
+        spark.createDataFrame(part, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+    sf, at = str(tmp_path / "full"), [common.table(spark, str(tmp_path / "full"), "documents")]
+    for name, stage in corpus_pipeline.STAGES:
+        at.append(common.save(stage(spark, at[-1], sf), f"test_{name}"))
+        assert at[-1].columns[:5] == schema.replace(" long", "").replace(" string", "").split(", ")
+    start, language, near, bare, people, ids = (df.collect() for df in at)
+
+    tell = lambda rows: collections.Counter((r.doc_id, r.text) for r in rows)
+    assert not tell(language) - tell(start) and set(range(45)) <= {r.doc_id for r in language}
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for w in ((r.text or "").lower().split() for r in language)]
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    groups = collections.defaultdict(list)
+    for r, own, group in zip(language, sets, label):
+        groups[group].append((r.doc_id is None, r.doc_id or 0, r.doc_id, r.text))
+    assert tell(near) == collections.Counter(min(g)[2:] for g in groups.values())
+    by = {r.doc_id: r.text for r in bare}
+    assert {r.doc_id for r in near} == set(by) and {i for i, t in by.items() if t != texts[i]} == {43}
+    assert item not in by[43] and by[43].split() == texts[43].replace(item, "").split()
+    after = {r.doc_id: r.text for r in people}
+    assert {i for i in by if by[i] != after[i]} == {44} and "anna" not in after[44] and "somewhere" not in after[44] and set(after) == set(by)
+    lib = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    column = next(c for c in at[-1].columns if c not in at[0].columns)
+    want = sorted((r.doc_id, tuple(lib.encode(r.text or "", add_special_tokens=False).ids)) for r in people)
+    assert sorted((r.doc_id, tuple(r[column])) for r in ids) == want
+    assert sorted((r.doc_id, tuple(r[column])) for r in corpus_pipeline.run(spark, sf).collect()) == want
