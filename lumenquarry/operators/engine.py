@@ -1,6 +1,7 @@
 """Statements over a catalog of tables: queries are lazy DataFrames; changes write a new version and swap a pointer.
 
-A managed table is a folder of Parquet versions under the warehouse folder; nothing that is read is ever overwritten. A
+A managed table is a list of Parquet folders under the warehouse folder; nothing that is read is ever overwritten. INSERT adds a
+folder of the new rows, checked before it counts; other changes write the table anew. A
 transaction keeps a copy of the catalog and puts it back on ROLLBACK. One writer at a time. A statement reads and makes views of
 only the tables that it names.
 
@@ -31,6 +32,7 @@ class Table:
     foreign: list[tuple] = field(default_factory=list)
     indexes: dict[str, tuple] = field(default_factory=dict)
     comment: str | None = None
+    paths: list[str] | None = None  # the folders of a managed table; replaced, never changed in place
 
     @property
     def frame(self) -> DataFrame:
@@ -67,7 +69,8 @@ class Views:
 class Engine:
     def __init__(self, spark: SparkSession, warehouse: str | None = None, strict: bool = True):
         self.spark, self.strict = spark, strict
-        self.warehouse = warehouse or (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/lumenquarry").rstrip("/") + "/tables"
+        shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or ("/tmp/checkpoints/lumenquarry" if spark.sparkContext.master.startswith("local") else None)
+        self.warehouse = warehouse or (shared and shared.rstrip("/") + "/tables")
         self.tables: dict[str, Table] = {}
         self.functions: dict[str, tuple] = {}
         self.saved: tuple | None = None
@@ -138,10 +141,31 @@ class Engine:
             raise SqlError(f"table not found: {name}")
         return self.tables[name]
 
-    def _store(self, name: str, frame: DataFrame) -> None:
+    def _write(self, name: str, frame: DataFrame) -> str:
+        if not self.warehouse:
+            raise ValueError("managed tables need a warehouse folder, or spark.checkpoint.dir, that the driver and all executors share")
         path = f"{self.warehouse}/{self.own}/{name}/v={uuid.uuid4().hex}"
         frame.write.parquet(path)
-        self.tables[name].frame = self.spark.read.schema(frame.schema).parquet(path)
+        return path
+
+    def _hold(self, name: str, schema, paths: list[str]) -> None:
+        t = self.tables[name]
+        t.paths, t.frame = paths, self.spark.read.schema(schema).parquet(*paths)
+
+    def _store(self, name: str, frame: DataFrame) -> None:
+        self._hold(name, frame.schema, [self._write(name, frame)])
+
+    def _checked(self, name: str, frame: DataFrame, old: DataFrame | None = None) -> tuple[str, DataFrame]:
+        """The folder and rows of a written frame that all constraints of its table allow; the folder of one that they don't is deleted."""
+        path = self._write(name, frame)
+        new = self.spark.read.schema(frame.schema).parquet(path)
+        try:
+            self._check(name, new, old)
+        except ConstraintError:
+            found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            found.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(found, True)
+            raise
+        return path, new
 
     def _create(self, name, cols, keys, quiet, source, comment) -> str:
         if name in self.tables:
@@ -194,18 +218,25 @@ class Engine:
             given = dict(new.dtypes)
             typed = lambda f: F.parse_json(F.col(quote(f.name))) if f.dataType.typeName() == "variant" and given[f.name] == "string" else F.col(quote(f.name)).cast(f.dataType)  # noqa: E731  text for a MAP or LIST is JSON
             new = new.select(*(typed(f).alias(f.name) if f.name in names else F.expr(comp.expr(missing[f.name]) if missing.get(f.name) else "NULL").cast(f.dataType).alias(f.name) for f in fields))
-        n = new.count()
-        self._check(name, new, t.frame.unionAll(new))
-        self._store(name, t.frame.unionAll(new))
-        return n
+        path, new = self._checked(name, new, t.frame)
+        if t.paths:
+            self._hold(name, t.frame.schema, [*t.paths, path])
+        else:
+            self._store(name, t.frame.unionAll(new))
+        return new.count()
 
-    def _check(self, name: str, new: DataFrame, whole: DataFrame) -> None:
+    def _check(self, name: str, new: DataFrame, old: DataFrame | None) -> None:
+        """Constraints of the rows of new beside those of old, which keep them already."""
         t = self.tables[name]
+        whole = new if old is None else old.unionAll(new)
         for c in t.columns or []:
             col = F.col(quote(c["name"]))
             if not c["null"] and not new.where(col.isNull()).isEmpty():
                 raise ConstraintError(f"{name}.{c['name']} can't be null")
-            if (c["primary"] or c["unique"]) and not whole.where(col.isNotNull()).groupBy(col).count().where("count > 1").isEmpty():
+            if not (c["primary"] or c["unique"]):
+                continue
+            keys = new.where(col.isNotNull()).select(col.alias("key"))
+            if not keys.groupBy("key").count().where("count > 1").isEmpty() or (old is not None and not keys.join(old.select(col.alias("key")), "key", "left_semi").isEmpty()):
                 raise ConstraintError(f"{name}.{c['name']} has to be unique")
         for own, parent, key in t.foreign:
             keys = self._table(parent).frame.select(F.col(quote(key)).alias(own)) if parent != name else whole.select(F.col(quote(key)).alias(own))
@@ -227,8 +258,8 @@ class Engine:
         view, _ = comp.catalog[name]
         out = self.spark.sql(f"SELECT {', '.join(f'{new[c]} AS {quote(c)}' if c in new else quote(c) for c in known)} FROM {quote(view)} AS {quote(name)}")
         n = self.spark.sql(f"SELECT count(*) FROM {quote(view)} AS {quote(name)} WHERE {cond}").first()[0]
-        self._check(name, out, out)
-        self._store(name, out)
+        path, _ = self._checked(name, out)
+        self._hold(name, out.schema, [path])
         return n
 
     def _delete(self, name, where) -> int:

@@ -122,3 +122,17 @@ def test_only_named_tables_are_read(spark, tmp_path):
         e.query("SELECT * FROM elsewhere")
     with pytest.raises(Exception, match="(?i)path"):
         e.query("SELECT * FROM missing")
+
+
+def test_insert_adds_folders(engine):
+    before = engine.tables["boss"].paths
+    assert engine.sql("INSERT INTO boss VALUES (4, 'd', 1); INSERT INTO boss SELECT * FROM boss WHERE id > 9") == [1, 0]
+    after = engine.tables["boss"].paths
+    assert after[: len(before)] == before and len(after) == len(before) + 2
+    for bad in ("INSERT INTO boss VALUES (4, 'e', 1)", "INSERT INTO boss VALUES (5, 'e', 1), (5, 'f', 1)"):
+        with pytest.raises(ConstraintError):
+            engine.sql(bad)
+    engine.sql("BEGIN; INSERT INTO boss VALUES (6, 'g', 1); ROLLBACK")
+    assert engine.tables["boss"].paths == after and [r[0] for r in engine.query("SELECT id FROM boss ORDER BY id").collect()] == [1, 2, 3, 4]
+    engine.register("given", engine.query("SELECT id FROM boss"))
+    assert engine.sql("INSERT INTO given VALUES (9)") == [1] and engine.query("SELECT COUNT(*) AS n FROM given").first()[0] == 5
