@@ -309,6 +309,38 @@ def test_search_of_large_components(spark):
         assert got == [(i, max(-vafile.LIMIT, min(vafile.LIMIT, -s))) for s, i in want]
 
 
+def test_search_of_many_copies_and_loose_cells(spark):
+    """A third of the rows share one vector, ids and queries repeat, and cells of 3 bits need several rounds of reading."""
+    rng = np.random.default_rng(5)
+    v = np.concatenate((np.repeat(rng.normal(size=(1, 6)), 300, 0), rng.normal(size=(600, 6))))
+    rows = [(i % 890, [float(x) for x in r]) for i, r in enumerate(v)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    m, ids = np.floor(256 * np.array([r for _, r in rows])).astype(np.int64), np.array([i for i, _ in rows])
+    want = collections.Counter()
+    for q in np.flatnonzero(ids % 50 == 0):
+        order = sorted((-int(s), int(i)) for s, i in zip(m @ m[q], ids) if i != ids[q])[:5]
+        want.update((int(ids[q]), r, i, -s) for r, (s, i) in enumerate(order, 1))
+    for bits, block in ((3, 2048), (7, 4)):
+        got = collections.Counter((r.query_id, r.rank, r.vec_id, int(r.score)) for r in vafile.top_k(df, df.where("vec_id % 50 = 0"), bits=bits, block=block).collect())
+        assert got == want
+    assert vafile.top_k(df.limit(0), df.limit(0)).collect() == vafile.top_k(df.limit(0), df.limit(9)).collect() == []
+
+
+def test_bounds_of_cells_hold():
+    rng = np.random.default_rng(2)
+    for scale in (1, 300, 1e6, 1e12, 1e200):
+        rows = np.floor(rng.normal(size=(50, 7)) * scale)
+        queries = np.floor(rng.normal(size=(5, 7)) * scale)
+        for bits in (2, 5, 8):
+            shift, cells = vafile.cells_of(rows, bits)
+            lower, upper = vafile.bounds(queries, cells, shift)
+            for i, q in enumerate(queries.tolist()):
+                for j, r in enumerate(rows.tolist()):
+                    exact = sum(int(a) * int(b) for a, b in zip(q, r))
+                    assert (lower[i, j] == -np.inf or int(lower[i, j]) <= exact) and (upper[i, j] == np.inf or exact <= int(upper[i, j]))
+
+
 def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
