@@ -142,6 +142,9 @@ class Candidates:
                 d = c + 512
                 lower, upper = bounds(self.queries[c:d], cells[a:b], shift[a:b])
                 other = ids[a:b][None, :] != self.ids[c:d][:, None]
+                if other.shape[1] >= self.k:  # what k cells of these alone reach
+                    at_least = np.where(other, lower, -np.inf)
+                    self.floors[c:d] = np.maximum(self.floors[c:d], np.partition(at_least, other.shape[1] - self.k, axis=1)[:, other.shape[1] - self.k])
                 j, i = np.nonzero(other & (upper >= self.floors[c:d, None]))
                 self.parts.append((j + c, at[a:b][i], ids[a:b][i], lower[j, i], upper[j, i], digest[a:b][i]))
                 self.size += len(j)
