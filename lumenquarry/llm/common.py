@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WINDOW = 1 << 20
+WINDOW, BATCH = 1 << 20, 2000
 POWER, MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
 
 
@@ -77,6 +77,13 @@ def release() -> None:
         pass
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session sends Arrow batches of BATCH rows at most: texts of a batch are held by the executor and by its Python worker, twice each."""
+    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    return df
+
+
 def shielded(df: DataFrame, use) -> DataFrame:
     """use(df, name) on columns u0, u1, ..., which clash with nothing that an operator adds; name: df's columns to these. What use returns
     begins with the same columns, which get their own names back; others keep theirs."""

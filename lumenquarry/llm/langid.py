@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from .common import discard, release, save, shielded, text_buffer
+from .common import discard, release, save, shielded, small_batches, text_buffer
 
 CELLS, EFFECTIVE, ALPHA, BETA = 1 << 16, 60, 10.0, 50.0
 UND, UND_PRIOR, MOST_LANGUAGES = "und", 0.01, 512
@@ -124,20 +124,21 @@ def declared(html: str | None) -> str | None:
 def evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], html: str | None = None, text: str | None = None) -> DataFrame:
     """keep, ll (log likelihood of each class), declared."""
     sent = rows.sparkSession.sparkContext.broadcast(model[1])
-    rows = rows.select(*keep, F.col(html or text).alias("__text"))
-    schema = StructType([f for f in rows.schema.fields if f.name != "__text"]).add("__ll", ArrayType(DoubleType())).add("__declared", StringType())
+    at_text, kept = keep.index(html or text) if (html or text) in keep else len(keep), len(keep)  # a text that is kept is sent once
+    rows = small_batches(rows.select(*keep, *([F.col(html or text).alias("__text")] if at_text == kept else [])))
+    schema = StructType(rows.schema.fields[:kept]).add("__ll", ArrayType(DoubleType())).add("__declared", StringType())
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts, said = part.column(part.num_columns - 1), pa.nulls(part.num_rows, pa.string())
+                texts, said = part.column(at_text), pa.nulls(part.num_rows, pa.string())
                 if html:
                     raw = texts.to_pylist()
                     texts, said = pa.array([plain_text(h) for h in raw], pa.string()), pa.array([declared(h) for h in raw], pa.string())
                 ll = log_likelihoods(texts, sent.value)
                 col = pa.ListArray.from_arrays(pa.array(np.arange(0, ll.size + 1, ll.shape[1], dtype=np.int32)), pa.array(ll.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], col, said], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], col, said], names=schema.names)
         release()
 
     return rows.mapInArrow(run, schema)
