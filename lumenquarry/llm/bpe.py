@@ -349,7 +349,7 @@ def decode(v: Vocabulary, ids: list[int]) -> str:
     return "".join([*(d.feed(ids[i : i + CHUNK]) for i in range(0, len(ids), CHUNK)), d.finish()])
 
 
-def encode_table(df: DataFrame, path: str, text: str = "text", ids: str = "ids", cached: int = 150_000) -> DataFrame:
+def encode_table(df: DataFrame, path: str, text: str = "text", ids: str = "ids", cached: int = 40_000) -> DataFrame:
     """df with the ids (array<int>) of its texts; a column of that name is replaced. cached: units that a task remembers; fewer take less memory, more time."""
 
     def run(batches):
